@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, exact_dedup, media_wav, packing, subword_classifier, warc
+from . import bitpack, exact_dedup, hpylm, media_wav, packing, subword_classifier, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -25,6 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op2_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) == 2)
+
+
 def op3_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = bitpack.write_token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
     return bitpack.read_token_shards(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -59,7 +63,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_bit_packed_ids, op5_wav_fingerprints, op6_warc_salvage, op7_configuration_packing, op10_subword_quality)
+    f.__name__: f for f in (op1_exact_dedup, op2_pitman_yor_scores, op3_bit_packed_ids, op5_wav_fingerprints, op6_warc_salvage, op7_configuration_packing, op10_subword_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {
