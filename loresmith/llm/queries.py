@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, exact_dedup, hpylm, media_wav, packing, subword_classifier, warc
+from . import bitpack, exact_dedup, hpylm, media_wav, near_dedup, packing, subword_classifier, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -55,6 +55,10 @@ def op7_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces, "length", 4096)
 
 
+def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder("doc_id", 4) == 2
@@ -63,7 +67,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_pitman_yor_scores, op3_bit_packed_ids, op5_wav_fingerprints, op6_warc_salvage, op7_configuration_packing, op10_subword_quality)
+    f.__name__: f for f in (op1_exact_dedup, op2_pitman_yor_scores, op3_bit_packed_ids, op5_wav_fingerprints, op6_warc_salvage, op7_configuration_packing, op9_bagminhash_classes, op10_subword_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {
