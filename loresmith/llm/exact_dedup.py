@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import small, stage
+from .staging import small, stage, text_or_empty
 
 
 def md5_128(text: Column) -> Column:
@@ -27,7 +27,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ignored, so their names cannot clash.  An empty table gives no rows.
     """
     best = F.max if keep == "max" else F.min
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).alias("__id"), content_hash(text).alias("__h"), F.sha2(text.cast("binary"), 256).alias("__sha"))
     groups = stage(base.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"), best("__id").alias("__keep")).where("__n > 1"))
     groups = small(groups, 48)
@@ -50,7 +50,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, in all their columns; repeated rows with the same id and text are merged into one."""
-    rows = docs.dropDuplicates()
-    gone = exact_groups(rows, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("__gone"))
-    return rows.join(small(stage(gone), 16), F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stay, in all their columns.  Of rows with the same id and text one stays; of null ids all."""
+    gone = exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("__gone"))
+    rest = docs.join(small(stage(gone), 16), F.col(id_col) == F.col("__gone"), "left_anti")
+    key = docs.select(F.col(id_col).alias("__id"), md5_128(text_or_empty(text_col)).alias("__h")).where("__id IS NOT NULL")
+    again = stage(key.groupBy("__id", "__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id").distinct())
+    if again.isEmpty():
+        return rest
+    again = small(again, 16)
+    same = F.col(id_col) == F.col("__id")
+    return rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

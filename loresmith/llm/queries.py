@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, exact_dedup, hpylm, media_wav, near_dedup, packing, subword_classifier, warc
+from . import bitpack, exact_dedup, hpylm, media_wav, nbest, near_dedup, packing, subword_classifier, token_spans, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -34,6 +34,10 @@ def op3_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_token_shards(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_section_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, rule="largest")
+
+
 def op5_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_wav.wav_fingerprints(media_wav.to_wav_column(table(spark, sf_dir, "documents")))
     codes, times = F.array_join("codes", ","), F.array_join("times", ",")
@@ -55,6 +59,10 @@ def op7_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces, "length", 4096)
 
 
+def op8_n_best_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.n_best_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
 def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
@@ -67,7 +75,19 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_pitman_yor_scores, op3_bit_packed_ids, op5_wav_fingerprints, op6_warc_salvage, op7_configuration_packing, op9_bagminhash_classes, op10_subword_quality)
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_pitman_yor_scores,
+        op3_bit_packed_ids,
+        op4_section_token_counts,
+        op5_wav_fingerprints,
+        op6_warc_salvage,
+        op7_configuration_packing,
+        op8_n_best_segmentations,
+        op9_bagminhash_classes,
+        op10_subword_quality,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -115,19 +115,37 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return train([r["__t"] for r in rows], [r["__y"] for r in rows])
 
 
+def _scores(column: pa.Array, table: np.ndarray, shift: float) -> np.ndarray:
+    data, bounds = string_bytes(column)
+    out = np.empty(len(column))
+    for i, j in slices(bounds):
+        out[i:j] = margin(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], table)
+    return 1 / (1 + np.exp(-(out + shift)))
+
+
+def _shared(docs: DataFrame, model: SubwordModel):
+    """The table of margins (its size is fixed by BUCKETS) and the bias."""
+    return docs.sparkSession.sparkContext.broadcast((model.margins().astype(np.float32), float(model.bias[1] - model.bias[0])))
+
+
 def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and ``score``, the probability of class 1 of the whole text; null text counts as empty and gets the bias alone."""
-    table, shift = model.margins().astype(np.float32), float(model.bias[1] - model.bias[0])
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = _shared(docs, model)
 
     def run(batches):
-        table = shared.value
         for batch in batches:
-            data, bounds = string_bytes(batch.column(1))
-            out = np.empty(batch.num_rows)
-            for i, j in slices(bounds):
-                out[i:j] = margin(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], table)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-(out + shift))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), *shared.value))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, model: SubwordModel, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, in all their columns; nothing is joined or shuffled."""
+    shared, at = _shared(docs, model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), *shared.value) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
