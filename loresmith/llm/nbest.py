@@ -13,7 +13,6 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
-import re
 import zlib
 
 import numpy as np
@@ -21,16 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import U, mix
+from .textkernel import U, frugal, mix, ragged, slices, span_hashes, string_bytes
 
 BLANK = "▁"
-REMEMBERED = 200_000
-_RUNS = re.compile(f"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+")
+_MARK = BLANK.encode()
+#: Runs remembered by a worker, and lists of segmentations; beyond these the memory starts anew, which changes nothing.
+REMEMBERED, LISTS = 1_000_000, 20_000
+#: Bytes of text that are handled together, and of a run that is remembered.
+GROUP_BYTES, LONGEST = 4 << 20, 64
 _FACTOR = U(0x9FB21C651E98DF25)
 
 
 class Pieces:
-    """The pieces of a model with their scores.  A character in no piece is spelled in its bytes at ``lone``, below any piece's score."""
+    """The pieces of a model with their scores.  A character in no piece is spelled in its bytes at ``lone``, below the score of any piece that is not all blanks."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -43,7 +45,7 @@ class Pieces:
         self.names = [model.id_to_piece(i) for i in range(n)]
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.scores = {p: float(model.get_score(i)) for p, i in self.ids.items()}
-        self.lone = min(self.scores.values()) - 10
+        self.lone = min(v for p, v in self.scores.items() if p.strip(BLANK)) - 10
         self.longest = max(map(len, self.ids))
         keys = np.array([_code(np.array([ord(c) for c in p])) for p in self.ids], U)
         order = np.argsort(keys)
@@ -58,9 +60,7 @@ class Pieces:
         self.slots[1, (self.keys[lost] & U(0xFFFFF)).astype(np.int64)] = lost
         if (self.keys[self.place(self.keys)] != self.keys).any():
             raise ValueError("two pieces have one slot in both tables")
-        self.scored: dict[str, complex] = {}  # the best score, and what the second-best is below it
-        self.known: dict[str, tuple[bytes, str]] = {}  # the best segmentation's ids and what they decode to
-        self.older: tuple[dict[str, complex], dict[str, tuple[bytes, str]]] = ({}, {})
+        self.forget()
         self.lists: dict[tuple[str, int], list[tuple[float, tuple[str, ...]]]] = {}
 
     def place(self, key: np.ndarray) -> np.ndarray:
@@ -75,35 +75,46 @@ class Pieces:
         found = self.scores.get(piece)
         return self.lone if found is None and len(piece) == 1 else found
 
-    def learn(self, runs: list[str]) -> None:
-        """Remember of each run the best and second-best score (minus infinity: none), the ids of the best segmentation and what they decode to.
-
-        One forward pass goes over all runs of about the same length.
-        """
-        if len(self.known) > REMEMBERED:
-            self.older = self.scored, self.known
-            self.scored, self.known = {}, {}
-        new = set(runs).difference(self.known)
-        for x in new.intersection(self.older[1]):
-            self.scored[x], self.known[x] = self.older[0][x], self.older[1][x]
-        runs = sorted(new.difference(self.known), key=len)
-        short = [x for x in runs if len(x) <= 64]
-        alone = [x for x in runs if len(x) > 64]  # padding others to these would cost memory
+    def forget(self) -> None:
+        self.known = np.zeros(0, U)
+        self.best, self.loss = np.zeros(0), np.zeros(0)
+        self.at, self.count, self.same = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.flat = np.zeros(0, np.uint32)
+
+    def work_out(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run: the best score, what the second-best is below it, how many ids the best segmentation has and whether it decodes to the run; and all ids."""
+        best, loss, same = np.zeros(len(runs)), np.full(len(runs), np.inf), np.zeros(len(runs), bool)
+        ids: list = [None] * len(runs)
+        order = sorted(range(len(runs)), key=lambda k: len(runs[k]))
+        short = [k for k in order if len(runs[k]) <= LONGEST]
+        alone = [k for k in order if len(runs[k]) > LONGEST]  # padding others to these would cost memory
         for k in range(0, len(short), 4096):
             part = short[k : k + 4096]
-            first, second, ids, counts = self._forward_all(part)
+            first, second, made, counts = self._forward_all([runs[x] for x in part])
+            best[part], loss[part] = first, first - second
             ends = np.cumsum(counts)
-            data = ids.astype("<u4").tobytes()
-            for x, f, g, a, b in zip(part, first.tolist(), second.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+            listed = made.tolist()
+            for x, a, b in zip(part, (ends - counts).tolist(), ends.tolist(), strict=True):
                 if a == b:
                     alone.append(x)
-                    continue
-                told = "".join([self.names[i] for i in ids[a:b]])
-                self.scored[x], self.known[x] = complex(f, f - g), (data[4 * a : 4 * b], x if told == x else told)
+                else:
+                    ids[x] = made[a:b]
+                    same[x] = "".join([self.names[i] for i in listed[a:b]]) == runs[x]
         for x in alone:
-            found = self.n_best(x, 2)
-            self.scored[x] = complex(found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf)
-            self.known[x] = self.spell(found[0][1])
+            found = self.n_best(runs[x], 2)
+            best[x], loss[x] = found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
+            ids[x] = np.array(self.encode(list(found[0][1])), np.uint32)
+            same[x] = self._plain(ids[x].tolist()) == runs[x]
+        count = np.array([len(x) for x in ids], np.int64)
+        return best, loss, count, same, np.concatenate(ids).astype(np.uint32) if ids else np.zeros(0, np.uint32)
+
+    def _learn(self, key: np.ndarray, runs: list[str]) -> None:
+        best, loss, count, same, ids = self.work_out(runs)
+        where = np.searchsorted(self.known, key)
+        self.known, self.best, self.loss = np.insert(self.known, where, key), np.insert(self.best, where, best), np.insert(self.loss, where, loss)
+        self.at = np.insert(self.at, where, len(self.flat) + np.cumsum(count) - count)
+        self.count, self.same = np.insert(self.count, where, count), np.insert(self.same, where, same)
+        self.flat = np.r_[self.flat, ids]
 
     def _forward_all(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best and second-best scores, the ids of the best segmentations one after another, and how many each has (0: it holds a character in no piece)."""
@@ -139,11 +150,6 @@ class Pieces:
         path[(path == -1).any(axis=1)] = -2
         return first[sizes, column], second[sizes, column], path[path >= 0], (path >= 0).sum(axis=1)
 
-    def spell(self, pieces: tuple[str, ...]) -> tuple[bytes, str]:
-        """Ids as bytes, and the text that they stand for."""
-        ids = self.encode(list(pieces))
-        return np.array(ids, "<u4").tobytes(), self._plain(ids)
-
     def forward(self, run: str) -> list[float]:
         """The best score of each prefix."""
         best = [0.0] + [-np.inf] * len(run)
@@ -172,34 +178,67 @@ class Pieces:
             for i in range(max(0, at - self.longest), at):
                 if (s := self.score(run[i:at])) is not None:
                     heapq.heappush(heap, (-(held + s + best[i]), next(number), i, held + s, (run[i:at], path)))
-        if len(self.lists) > REMEMBERED // 10:
+        if len(self.lists) > LISTS:
             self.lists.clear()
         self.lists[run, n] = found
         return found
 
-    def segment(self, runs: list[str], n: int) -> list[tuple[float, list[tuple[int, int]]]]:
-        """The ``n`` best segmentations of a chain of runs, best first: the score, and (run, rank in its own list) of those that may leave their best path.  The runs must have been learnt."""
-        scores = np.fromiter(map(self.scored.__getitem__, runs), complex, len(runs))
-        total, loss = float(scores.real.sum()), scores.imag
-        near = np.sort(np.argsort(loss, kind="stable")[: n - 1]).tolist()
-        near = [k for k in near if np.isfinite(loss[k])]
-        options = [[(scores[k].real - s, i) for i, (s, _) in enumerate(self.n_best(runs[k], n))] for k in near]
-        return [(total - lost, list(zip(near, way, strict=True))) for lost, way in _least_sums(options, n)]
-
-    def written(self, runs: list[str], ways: list[list[tuple[int, int]]], n: int) -> list[tuple[bytes, str]]:
-        """The ids of segmentations that :meth:`segment` gave for the same ``n``, and what they decode to."""
-        parts = list(map(self.known.__getitem__, runs))
-        ids, told = [p[0] for p in parts], [p[1] for p in parts]
-        whole, out = "".join(told).replace(BLANK, " ")[1:], []
-        for changes in ways:
-            same = True
-            for k, i in changes:
-                ids[k], now = self.spell(self.n_best(runs[k], n)[i][1])
-                same, told[k] = same and now == told[k], now
-            if not same:
-                whole = "".join(told).replace(BLANK, " ")[1:]
-            out.append((b"".join(ids), whole))
-        return out
+    def segment(self, column: pa.Array, n: int):
+        """For each text of a column its ``n`` best segmentations, best first: (score, ids as bytes, whether they decode to the text)."""
+        data, bounds = string_bytes(column)
+        for i, j in slices(bounds, GROUP_BYTES):
+            if len(self.known) > REMEMBERED:
+                self.forget()
+            part, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+            marked = np.insert(part, at[:-1], 32)  # a blank before each text
+            at = at + np.arange(len(at))
+            start, end = run_spans(marked, at)
+            yield from self._group(marked, at, start, end, n)
+
+    def _group(self, marked, at, start, end, n):
+        key, size = span_hashes(marked, start, end), end - start
+        strings = lambda which: [marked[a:b].tobytes().decode().replace(" ", BLANK) for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
+        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        long = size > LONGEST
+        where = np.searchsorted(self.known, distinct)
+        known = where < len(self.known)
+        known[known] = self.known[where[known]] == distinct[known]
+        fresh = np.flatnonzero(~known & ~long[first])
+        if len(fresh):
+            self._learn(distinct[fresh], strings(first[fresh]))
+        place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))[inverse]
+        flat, out_of = self.flat, np.zeros(len(key), np.int64)
+        if len(self.known):
+            best, loss, out_of, count, same = self.best[place], self.loss[place], self.at[place], self.count[place], self.same[place]
+        else:
+            best, loss, count, same = np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        if len(alone := np.flatnonzero(long)):
+            best[alone], loss[alone], count[alone], same[alone], ids = self.work_out(strings(alone))
+            out_of[alone] = len(flat) + np.cumsum(count[alone]) - count[alone]
+            flat = np.r_[flat, ids]
+        runs = np.searchsorted(start, at)
+        ids = flat[ragged(out_of, count)].astype("<u4").tobytes()
+        placed = 4 * np.r_[0, np.cumsum(count)]
+        totals = np.add.reduceat(best, runs[:-1])
+        marks = _MARK in marked.tobytes()
+        for k in range(len(at) - 1):
+            a, b = int(runs[k]), int(runs[k + 1])
+            lost = loss[a:b]
+            near = np.sort(np.argpartition(lost, n - 1)[: n - 1]) if len(lost) >= n else np.arange(len(lost))
+            near = (a + near[np.isfinite(lost[near])]).tolist() if n > 1 else []
+            options = [self.n_best(x, n) for x in strings(near)] if near else []
+            spelled = [[np.array(self.encode(list(p)), "<u4").tobytes() for _, p in found] for found in options]
+            decoded = [[self._plain(np.frombuffer(x, "<u4").tolist()) == run for x in found] for run, found in zip(strings(near), spelled, strict=True)] if near else []
+            whole = bool(same[a:b].all()) and not (marks and _MARK in marked[at[k] : at[k + 1]].tobytes())
+            texts: list[tuple[float, bytes, bool]] = []
+            for lost_by, way in _least_sums([[(best[x] - s, i) for i, (s, _) in enumerate(found)] for x, found in zip(near, options, strict=True)], n):
+                parts, last = [], int(placed[a])
+                for x, i, found in zip(near, way, spelled, strict=True):
+                    parts += [ids[last : placed[x]], found[i]]
+                    last = int(placed[x + 1])
+                parts.append(ids[last : placed[b]])
+                texts.append((float(totals[k] - lost_by), b"".join(parts), whole and all(told[i] for told, i in zip(decoded, way, strict=True))))
+            yield texts
 
     def encode(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -222,9 +261,14 @@ def _code(chars: np.ndarray) -> np.uint64:
     return mix(code + U(len(chars)))[0]
 
 
-def cut(text: str) -> list[str]:
-    """The runs of a text with a blank put before it: blanks and what follows them up to the next blank; a line feed is a run of its own."""
-    return _RUNS.findall((" " + text).replace(" ", BLANK))
+def run_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of texts that each begin with a blank: blanks and what follows them up to the next blank; a line feed is a run of its own."""
+    blank, feed = data == 32, data == 10
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-1] = (blank[1:] & ~blank[:-1]) | feed[1:] | feed[:-1]
+    begins[bounds] = True
+    start = np.flatnonzero(begins)
+    return start[:-1], start[1:]
 
 
 def _least_sums(options: list[list[tuple[float, int]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -245,25 +289,21 @@ def n_best_segmentations(docs: DataFrame, model_path: str, n: int = 4, id_col: s
 
     Fewer than ``n`` rows come out where the lattice has fewer paths.
     ``ids_crc32`` is of the ids as little-endian unsigned 32-bit integers, and
-    ``decodes`` tells whether they decode to the text.  Null text counts as
-    empty: one blank.  The mark of blanks itself in a text counts as a blank,
-    and then the text does not decode.  Null and repeated ids are carried through.
+    ``decodes`` tells whether they decode to the text, run by run.  Null text
+    counts as empty: one blank.  The mark of blanks itself in a text counts as a
+    blank, and the text does not decode.  Null and repeated ids are carried
+    through.
     """
 
+    @frugal
     def run(batches):
         model = pieces(model_path)
         kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = part.column(1).to_pylist()
-                runs = [cut(x) for x in texts]
-                model.learn(list(itertools.chain.from_iterable(runs)))
-                rows: list[tuple] = []
-                for name, text, own in zip(part.column(0).to_pylist(), texts, runs, strict=True):
-                    found = model.segment(own, n)
-                    for rank, ((score, _), (ids, told)) in enumerate(zip(found, model.written(own, [w for _, w in found], n), strict=True)):
-                        rows.append((name, rank, score, len(ids) // 4, zlib.crc32(ids), told == text))
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                names = part.column(0).to_pylist()
+                rows = [(name, rank, score, len(ids) // 4, zlib.crc32(ids), told) for name, found in zip(names, model.segment(part.column(1), n), strict=True) for rank, (score, ids, told) in enumerate(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "rank", "score", "n_ids", "ids_crc32", "decodes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 
 import numpy as np
@@ -19,6 +20,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def release_memory() -> None:
+    """Give freed pages back to the system; workers live on between tasks and would keep them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(run):
+    """A function over batches that gives its memory back when its task ends."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift), so that every bit depends on all."""
     x = x ^ (x >> U(30))
@@ -75,13 +98,23 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np
     after[edges[edges > 0] - 1] = True
     start = np.flatnonzero(~gap & before)
     end = np.flatnonzero(~gap & after) + 1
+    return np.searchsorted(bounds, start, "right") - 1, start, end, span_hashes(data, start, end)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, from running sums of one polynomial."""
     power, inverse = _powers(1 << max(20, int(len(data) - 1).bit_length()))
     total = np.empty(len(data) + 1, U)
     total[0] = 0
     np.cumsum((data.astype(U) + U(1)) * power[: len(data)], dtype=U, out=total[1:])
     value = (total[end] - total[start]) * inverse[start]
-    row = np.searchsorted(bounds, start, "right") - 1
-    return row, start, end, mix(value + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    return mix(value + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of all items of spans, one span after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def shingles(row: np.ndarray, value: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
