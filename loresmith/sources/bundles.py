@@ -81,9 +81,10 @@ def read_records(spark: SparkSession, path: str, split: str | None = None) -> Da
     rows = lines.withColumn("record", whole)
     keys = F.array_sort(F.json_object_keys("text"))
     fault = (
-        F.when(F.col("record._corrupt").isNotNull() | keys.isNull(), "not a record")
+        F.when(keys.isNull(), "not a record")
         .when(keys != F.array(*map(F.lit, ("messages", "metadata", "schema_version"))), "fields")
         .when(~F.coalesce(version == "1", F.lit(False)) | F.col("text").rlike(r'"schema_version"\s*:\s*(true|")'), "schema version")
+        .when(F.col("record._corrupt").isNotNull(), "types")
         .when(F.lit(split is not None) & ~F.coalesce(F.col("record.metadata.split") == F.lit(split), F.lit(False)), "split")
         .when(~F.coalesce(F.col("record.metadata.id").rlike(r"^[a-z0-9]+(?:[-_][a-z0-9]+)*\z"), F.lit(False)), "id")
     )
