@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query, table
 
-#: What a division by zero gives.
+# Fixed values of the language: what a division by zero gives, the comparisons, and how tightly operators bind.
 DIVIDED_BY_ZERO = 2**63 - 1
 COMPARISONS = ("==", "!=", "<", ">", "<=", ">=")
-#: How tightly operators bind.
 BINDING = {"+": 1, "-": 1, "*": 2, "/": 2, "%": 2}
 
 

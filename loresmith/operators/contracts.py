@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..catalogue import query, table
 from .shared import checked
 
+# Fixed patterns: names of records, and text that is nothing but white space.
 SLUG = r"^[a-z0-9]+(?:[-_][a-z0-9]+)*\z"
 BLANK = r"(?U)^\s*\z"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query, table
 
-#: Bytes put on top of a request's text when its cost is reserved.
+# Fixed value: bytes put on top of a request's text when its cost is reserved.
 OVERHEAD_BYTES = 2048
 
 

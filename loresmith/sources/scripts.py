@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query, table
 
-#: Root kinds that are counted by name.
+# Root kinds that are counted by name, and the operators that write a condition.
 ROOT_KINDS = ("mission", "conversation", "government", "news", "phrase")
-#: Operators that write a condition.
 WRITES = ("=", "+=", "-=", "*=", "/=", "%=", "<?=", ">?=", "++", "--")
 NODE_SCHEMA = "path string, line int, depth int, parent_line int, root_line int, tokens array<string>, raw string, above array<array<string>>, above_lines array<int>, children int"
 
