@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import shared_folder
+from .textkernel import frugal
 from .word_ids import word_ids
 
 _HEAD = struct.Struct("<4sIIQ")
@@ -117,23 +118,26 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
 
+    @frugal
     def encode(batches):
         coder = word_ids(tokenizer)
         bits, at, offsets = width(coder.size), 0, []
         known, names, parts, held = [], [], [], 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for name, ids in zip(batch.column(0).to_pylist(), coder.batch(texts, end_id), strict=True):
-                known.append(name is not None)
-                names.append(name or 0)
-                parts.append(np.frombuffer(ids, "<u4"))
-                held += len(parts[-1])
-                if held >= block_ids:
-                    out = block(known, names, parts, bits)
-                    offsets.append(at)
-                    at += len(out) + 1
-                    yield pa.RecordBatch.from_pydict({"value": pa.array([out], pa.binary())})
-                    known, names, parts, held = [], [], [], 0
+            every = iter(batch.column(0).to_pylist())
+            for ids, bounds in coder.encode(batch.column(1), end_id):
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    name = next(every)
+                    known.append(name is not None)
+                    names.append(name or 0)
+                    parts.append(ids[a:b])
+                    held += b - a
+                    if held >= block_ids:
+                        out = block(known, names, parts, bits)
+                        offsets.append(at)
+                        at += len(out) + 1
+                        yield pa.RecordBatch.from_pydict({"value": pa.array([out], pa.binary())})
+                        known, names, parts, held = [], [], [], 0
         if parts:
             out = block(known, names, parts, bits)
             offsets.append(at)
@@ -151,6 +155,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
 def read_token_shards(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document: the id, its shard, ``start`` over all shards, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit)."""
 
+    @frugal
     def decode(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import stage
+from .textkernel import frugal
 from .word_ids import word_ids
 
 #: Rounds of multiplicative weights, how strongly coverage moves a price, and by what part a pattern may miss the best price.
@@ -207,19 +208,22 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = 4
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole texts as ids with the end id, cut into pieces of ``capacity`` where longer: id, ``piece``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit)."""
 
+    @frugal
     def cut(batches):
         coder = word_ids(tokenizer)
         for batch in batches:
-            names, numbers, starts, lengths, out = [], [], [], [], []
-            for name, ids in zip(batch.column(0).to_pylist(), coder.batch(batch.column(1).to_pylist(), end_id), strict=True):
-                for k, at in enumerate(range(0, len(ids) // 4, capacity)):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    names.append(name)
-                    numbers.append(k)
-                    starts.append(at)
-                    lengths.append(len(part) // 4)
-                    out.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(out, pa.binary())], ["id", "piece", "start", "length", "ids"])
+            done = 0
+            for ids, bounds in coder.encode(batch.column(1), end_id):
+                data, sizes = ids.astype("<u4").tobytes(), np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = number * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                at = bounds[row] + start
+                out = [data[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + done)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(out, pa.binary())], ["id", "piece", "start", "length", "ids"])
+                done += len(sizes)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, "id long, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
