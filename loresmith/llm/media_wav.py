@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkernel import frugal
+
 UNIT = 576  # payload bytes are padded to a positive multiple of this
 RATE = 8000
 FRAME, HOP = 576, 288
@@ -93,6 +95,7 @@ def to_wav_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     carried through; each row is on its own, so ties and empty tables need no rule.
     """
 
+    @frugal
     def store(batches):
         for batch in batches:
             sizes, media = [], []
@@ -109,6 +112,7 @@ def to_wav_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def wav_fingerprints(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """``media`` with ``payload`` (the samples read back), and the time-coded arrays ``codes`` and ``times``.  A null media value gives nulls."""
 
+    @frugal
     def features(batches):
         for batch in batches:
             payloads, codes, times = [], [], []

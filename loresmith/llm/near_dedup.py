@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bagminhash import BANDS, ROWS, band_keys, multiset, signatures
 from .staging import small, stage
-from .textkernel import U, mix, shingles, slices, string_bytes, words
+from .textkernel import U, frugal, mix, shingles, slices, string_bytes, words
 
 #: Members of a bucket that are compared with others at a time.
 BLOCK = 512
@@ -30,22 +30,21 @@ def _shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int):
 
 
 def _signed(size: int, bands: int, rows: int):
+    @frugal
     def run(batches):
         for batch in batches:
             data, bounds = string_bytes(batch.column(1))
-            prints, keys, counts = [], [], []
-            for _, n, row, value, times in _shingle_sets(data, bounds, size):
+            for i, n, row, value, times in _shingle_sets(data, bounds, size):
                 signature, any_word = signatures(row, value, times, n, bands * rows)
-                found = band_keys(signature, bands, rows).astype(np.int64)
+                keys = band_keys(signature, bands, rows).astype(np.int64)[any_word]
                 # a multiset's print: two sums of mixed elements with their counts
                 code = mix(value + times.astype(U) * U(0x9E6C63D0876A9A47))
                 sums = np.zeros((n, 2), U)
                 np.add.at(sums[:, 0], row, code)
                 np.add.at(sums[:, 1], row, mix(code + U(1)))
-                prints += [x.tobytes() for x in sums]
-                counts += np.bincount(row, times, n).astype(np.int64).tolist()
-                keys += [k.tolist() if a else [] for k, a in zip(found, any_word.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "print", "n_shingles", "keys"])
+                listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(any_word * bands)].astype(np.int32)), pa.array(keys.ravel()))
+                counts = np.bincount(row, times, n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array([x.tobytes() for x in sums], pa.binary()), pa.array(counts), listed], ["id", "print", "n_shingles", "keys"])
 
     return run
 
@@ -53,18 +52,18 @@ def _signed(size: int, bands: int, rows: int):
 def _sets(size: int):
     """Each text's shingles with their occurrence numbers, as sorted 64-bit values: set overlap of these is multiset overlap."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             data, bounds = string_bytes(batch.column(1))
-            out: list[bytes] = []
-            for _, n, row, value, times in _shingle_sets(data, bounds, size):
+            for i, n, row, value, times in _shingle_sets(data, bounds, size):
                 nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
                 row, value = np.repeat(row, times), mix(np.repeat(value, times) + nth.astype(U) * U(0xD1B54A32D192ED03))
                 order = np.lexsort((value, row))
                 ends = np.searchsorted(row[order], np.arange(n + 1))
                 value = value[order]
-                out += [value[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
+                out = [value[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(out, pa.binary())], ["id", "shingles"])
 
     return run
 
@@ -107,6 +106,7 @@ def _compare(similarity: float):
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     out.append((min(la[i], lb[j]), max(la[i], lb[j])))
+            del a, b
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run

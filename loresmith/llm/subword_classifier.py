@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import U, mix, slices, string_bytes, words
+from .textkernel import U, frugal, mix, release_memory, slices, string_bytes, words
 
 #: Rows of the vector table; words and byte n-grams of these sizes share it.
 BUCKETS, DIM = 1 << 18, 8
 GRAMS = (1, 3, 4)
 #: Labelled rows used at most for training: those with the least hash of their id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 EPOCHS, RATE = 12, 8.0
 
 
@@ -79,7 +79,7 @@ def train(texts: list[str], labels: list[int], seed: int = 13, epochs: int = EPO
         data = np.frombuffer(text.encode(), np.uint8)
         found = np.concatenate([b for b, _ in features(data, np.array([0, len(data)]))])
         bucket, times = np.unique(found, return_counts=True)
-        rows.append((bucket, times / max(1, times.sum())))
+        rows.append((bucket.astype(np.int32), (times / max(1, times.sum())).astype(np.float32)))
     target = np.eye(2)[labels]
     bias[:] = [np.log(1 - share), np.log(share)]
     steps, step = epochs * len(rows), 0
@@ -112,7 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where("__t IS NOT NULL")
     rows = texts.join(F.broadcast(picked), "__id").select("__id", "__t", "__y").collect()  # bounded by train_rows
     rows.sort(key=lambda r: (r["__id"], r["__y"], r["__t"]))
-    return train([r["__t"] for r in rows], [r["__y"] for r in rows])
+    labels_of, texts_of = [r["__y"] for r in rows], [r["__t"] for r in rows]
+    del rows
+    model = train(texts_of, labels_of)
+    release_memory()
+    return model
 
 
 def _scores(column: pa.Array, table: np.ndarray, shift: float) -> np.ndarray:
@@ -132,6 +136,7 @@ def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col
     """The id and ``score``, the probability of class 1 of the whole text; null text counts as empty and gets the bias alone."""
     shared = _shared(docs, model)
 
+    @frugal
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), *shared.value))], ["id", "score"])
@@ -144,6 +149,7 @@ def keep_good(docs: DataFrame, model: SubwordModel, least: float = 0.7, text_col
     """The rows of ``docs`` whose score is ``least`` or more, in all their columns; nothing is joined or shuffled."""
     shared, at = _shared(docs, model), docs.columns.index(text_col)
 
+    @frugal
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), *shared.value) >= least))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import string_bytes
+from .textkernel import frugal, string_bytes
 
 #: How a token that lies in more than one section is allocated.
 RULES = ("first", "last", "largest")
@@ -72,6 +72,7 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
+    @frugal
     def run(batches):
         coder, sizes = encoder(ranks_path, pattern)
         for batch in batches:

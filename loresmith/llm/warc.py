@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import shared_folder, small, stage
+from .textkernel import frugal
 
 VERSION = b"WARC/1.1"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -162,6 +163,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     joined = rows.join(small(stage(repeated), 48), "h", "left")
     rows = joined.select("id", "url", "body", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("of"))
 
+    @frugal
     def build(batches):
         for batch in batches:
             made = [record(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
