@@ -16,6 +16,7 @@ MODULES = (
     "operators.ledger",
     "operators.graphs",
     "operators.selection",
+    "operators.datasets",
     "functions.text",
     "functions.arithmetic",
     "sources.scripts",

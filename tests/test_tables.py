@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loresmith import catalogue
-from loresmith.operators import assessment, contracts, graphs, ledger, retrieval, selection
+from loresmith.operators import assessment, contracts, datasets, graphs, ledger, retrieval, selection
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -177,3 +177,28 @@ def test_needles_in_texts(spark):
     docs = spark.createDataFrame([(1, "a stone lamp"), (2, None), (3, "lam"), (4, "")], "doc_id long, text string")
     got = {tuple(r) for r in contracts.contained(docs, [(1, "lamp"), (2, "stone"), (3, "lamp"), (4, "river")]).collect()}
     assert got == {(1, 1), (1, 2), (1, 3)} and contracts.contained(docs, []).count() == 0
+
+
+def test_faults_of_a_dataset(spark):
+    columns = "id string, split string, mission string, conversation_id string, scenario_group string, location string"
+    sound = [("a", "train", "m", "c", None, "f:1"), ("b", "train", "m", "c2", None, "f:2"), ("d", "test", "n", "c3", None, "g:1")]
+    missions = spark.createDataFrame([("m", "train"), ("n", "test")], "mission string, split string")
+    faults = lambda rows, names="abd": {(r.kind, r.name) for r in datasets.dataset_faults(spark.createDataFrame(rows, columns), spark.createDataFrame([(x,) for x in names], "id string"), missions).collect()}
+    assert faults(sound) == set()
+    assert faults([*sound, ("a", "train", "m", "c", None, "f:9")]) == {("duplicate id", "a")}
+    assert faults([*sound[:2], ("d", "test", "n", "c", "g", "g:1")]) == {("conversation_id crosses splits", "c")}
+    assert faults([*sound[:2], ("d", "train", "n", "c3", None, "g:1")]) == {("split differs from its mission's", "d")}
+    assert faults(sound, "abx") == {("no provenance", "d"), ("provenance of no record", "x")}
+
+
+def test_names_as_whole_words(spark):
+    df = spark.createDataFrame([("to St. Ives (old)",), ("StxIves (old)",), ("éSt. Ives (old)",), ("St. Ives (old)!",)], "t string")
+    assert [r.x for r in df.select(datasets.mentions(F.col("t"), "St. Ives (old)").alias("x")).collect()] == [True, False, False, True]
+
+
+def test_conversations_of_two_splits(spark):
+    users = spark.createDataFrame([("talk", ["a", "b"]), ("other", ["a"])], "conversation string, missions array<string>")
+    splits = spark.createDataFrame([("a", "train"), ("b", "test")], "mission string, split string")
+    assert [r.conversation for r in datasets.conversation_owner_faults(users, splits).collect()] == ["talk"]
+    assert [r.group for r in datasets.repeated_groups(spark.createDataFrame([(1,), (1,), (2,)], "group int")).collect()] == [1]
+    assert datasets.settings_differences({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": 4}, ("a", "b")) == ["b"]
