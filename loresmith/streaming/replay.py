@@ -5,12 +5,16 @@ An extension of ours: the reference reads its ledger at once.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalogue import query
+from ..catalogue import ORACLE_SQL, query
+from ..operators import ledger
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +35,18 @@ def windowed_spend(events: DataFrame, length: str = "6 hours", late: str = "1 da
 
 
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drive a bounded stream to its end and return the result written to the sink."""
-    spark, name = stream.sparkSession, f"replay_{uuid.uuid4().hex}"
-    running = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    """Drive a bounded stream to its end; each batch is written below the shared folder by the executors, and the written table is returned."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loresmith-stage"
+    path = f"{base.rstrip('/')}/replay-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that runs again replaces what it wrote before
+        batch.write.mode("overwrite").parquet(f"{path}/table" if mode == "complete" else f"{path}/table/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
 @query("""SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS requests, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL""")
@@ -51,3 +62,35 @@ def request_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of a user that follow each other within eight hours."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id", F.session_window("ts", "8 hours")).agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("requests"))
     return rows.select("user_id", "start", "requests")
+
+
+BUDGET = 2_000_000
+
+
+def gate(events: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Admission of requests as they come: what each user has spent is the state that is kept between batches.
+
+    Requests of one batch are taken by time; one that comes in a later batch
+    than a newer one is taken where it comes.
+    """
+
+    def admit(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        spent = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for r in rows.itertuples():
+            out.append((key[0], r.event_id, spent, spent + r.reserved <= budget))
+            spent += r.reserved if r.event_type == "error" else r.cost
+        state.update((spent,))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "spent_before", "admitted"])
+
+    cents = F.round(F.col("value") * 1000).cast("long")
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (cents + 500).alias("reserved"), cents.alias("cost"))
+    return rows.groupBy("user_id").applyInPandasWithState(admit, "user_id long, event_id long, spent_before long, admitted boolean", "spent long", "append", "NoTimeout")
+
+
+def stream_budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_to_table(gate(event_stream(spark, sf_dir)), "append")
+
+
+query(ORACLE_SQL[ledger.budget_gate.__name__])(stream_budget_gate)
