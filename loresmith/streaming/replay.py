@@ -46,7 +46,7 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
     writer.foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+    return spark.read.parquet(f"{path}/table").select(*stream.columns)
 
 
 @query("""SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS requests, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL""")
