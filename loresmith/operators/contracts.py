@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import query, table
@@ -21,7 +21,7 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 def conversation_fault(messages: Column) -> Column:
     """The first broken rule of a message list, else null: known roles, text that is not blank, system only first, then user and assistant in pairs."""
-    known = F.forall(messages, lambda m: m["role"].isin("system", "user", "assistant"))
+    known = F.forall(messages, lambda m: F.coalesce(m["role"].isin("system", "user", "assistant"), F.lit(False)))
     filled = F.forall(messages, lambda m: F.coalesce(~m["text"].rlike(BLANK), F.lit(False)))
     led = F.element_at(messages, 1)["role"] == "system"
     rest = F.when(led, F.slice(messages, 2, F.size(messages))).otherwise(messages)
@@ -30,8 +30,30 @@ def conversation_fault(messages: Column) -> Column:
     return F.when(F.size(messages) == 0, "empty").when(~known, "role").when(~filled, "blank").when(~placed, "system").when(~paired, "pairs")
 
 
+def conversation_faults(rows: DataFrame) -> DataFrame:
+    """(conv_id, messages, target, target_role, fault) of messages as rows, by the same rules.
+
+    A message's place comes from a window that streams through its
+    conversation, and everything else is an aggregate over the same
+    partitioning: a conversation of any length is never held as a whole.
+    """
+    order = ("turn", "role", "text")
+    window = Window.partitionBy("conv_id").orderBy(*order)
+    led = F.coalesce(F.first("role").over(window.rowsBetween(Window.unboundedPreceding, 0)) == "system", F.lit(False)).cast("int")
+    placed = rows.select("conv_id", *order, (F.row_number().over(window) - 1).alias("k"), led.alias("led"))
+    k, role = F.col("k") - F.col("led"), F.col("role")
+    found = placed.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("messages"), F.max_by("text", F.struct(*order)).alias("target"), F.max_by("role", F.struct(*order)).alias("target_role"),
+        F.bool_and(F.coalesce(role.isin("system", "user", "assistant"), F.lit(False))).alias("known"), F.bool_and(F.coalesce(~F.col("text").rlike(BLANK), F.lit(False))).alias("filled"),
+        F.bool_and((role != "system") | (F.col("k") == 0)).alias("placed"), F.bool_and((k < 0) | (role == F.when(k % 2 == 0, "user").otherwise("assistant"))).alias("paired"), F.max("led").alias("led"),
+    )
+    rest = F.col("messages") - F.col("led")
+    fault = F.when(~F.col("known"), "role").when(~F.col("filled"), "blank").when(~F.col("placed"), "system").when((rest < 2) | (rest % 2 == 1) | ~F.col("paired"), "pairs")
+    return found.select("conv_id", "messages", "target", "target_role", fault.alias("fault"))
+
+
 _TURNS = "SELECT conv_id, list(role ORDER BY turn, role, text) AS roles, list(text ORDER BY turn, role, text) AS texts FROM conversations GROUP BY conv_id"
-_FAULT = """CASE WHEN NOT list_bool_and(list_transform(roles, lambda r: r IN ('system', 'user', 'assistant'))) THEN 'role'
+_FAULT = """CASE WHEN NOT list_bool_and(list_transform(roles, lambda r: coalesce(r IN ('system', 'user', 'assistant'), false))) THEN 'role'
     WHEN NOT list_bool_and(list_transform(texts, lambda t: coalesce(regexp_matches(t, '[^\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}]'), false))) THEN 'blank'
     WHEN list_contains(rest, 'system') THEN 'system'
     WHEN len(rest) < 2 OR len(rest) % 2 = 1 OR NOT list_bool_and(list_transform(rest, lambda r, i: r = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) THEN 'pairs' END"""
@@ -40,16 +62,20 @@ _CHECKED = f"WITH t AS ({_TURNS}), s AS (SELECT *, CASE WHEN roles[1] = 'system'
 
 @query(f"{_CHECKED} SELECT conv_id, coalesce(fault, 'ok') AS status, len(roles)::BIGINT AS messages FROM f")
 def conv_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(table(spark, sf_dir, "conversations"))
-    return rows.select("conv_id", F.coalesce(conversation_fault(F.col("messages")), F.lit("ok")).alias("status"), F.size("messages").cast("long").alias("messages"))
+    rows = conversation_faults(table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", F.coalesce("fault", F.lit("ok")).alias("status"), "messages")
 
 
 @query(f"{_CHECKED} SELECT conv_id, (len(roles) - 1)::BIGINT AS visible, texts[-1] AS target, roles[-1] AS target_role FROM f WHERE fault IS NULL")
 def conv_withhold_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a model may see of a valid record, and the withheld last message."""
-    m = F.col("messages")
-    rows = turns(table(spark, sf_dir, "conversations")).where(conversation_fault(m).isNull())
-    return rows.select("conv_id", F.size(F.slice(m, 1, F.size(m) - 1)).cast("long").alias("visible"), F.element_at(m, -1)["text"].alias("target"), F.element_at(m, -1)["role"].alias("target_role"))
+    """How much a model may see of a valid record, and the withheld last message."""
+    rows = conversation_faults(table(spark, sf_dir, "conversations")).where("fault IS NULL")
+    return rows.select("conv_id", (F.col("messages") - 1).alias("visible"), "target", "target_role")
+
+
+def visible_messages(messages: Column) -> Column:
+    """The messages of a record without the last."""
+    return F.slice(messages, 1, F.greatest(F.size(messages) - 1, F.lit(0)))
 
 
 @query("""SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'Player choice: ' || text ELSE text END, chr(10) || chr(10) ORDER BY turn, role, text) AS prompt

@@ -66,12 +66,14 @@ def test_vectors_that_cannot_be_indexed(spark):
 def test_conversation_rules(spark):
     def fault(*turns):
         df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id int, turn int, role string, text string")
-        return contracts.turns(df).select(contracts.conversation_fault(F.col("messages")).alias("f")).first().f
+        whole = contracts.turns(df).select(contracts.conversation_fault(F.col("messages")).alias("f")).first().f
+        assert contracts.conversation_faults(df).first().fault == whole
+        return whole
 
     u, a, s = ("user", "hi"), ("assistant", "yes"), ("system", "be")
     assert fault(u, a) is None and fault(s, u, a, u, a) is None
     assert fault(u) == "pairs" and fault(a, u) == "pairs" and fault(u, a, u) == "pairs" and fault(s) == "pairs"
-    assert fault(u, s, a) == "system" and fault(("npc", "x"), a) == "role" and fault(("user", "  \n"), a) == "blank" and fault(("user", None), a) == "blank"
+    assert fault(u, s, a) == "system" and fault(("npc", "x"), a) == "role" and fault((None, "x"), a) == "role" and fault(("user", "  \n"), a) == "blank" and fault(("user", None), a) == "blank"
 
 
 def test_slugs(spark):
