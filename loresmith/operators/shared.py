@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be sent to every task; its rows are narrow.
@@ -17,10 +17,22 @@ def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shared_folder(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder name below ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loresmith-stage"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, folder: str) -> str:
+    """Have a written folder removed when the application ends; plans that read it live no longer."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written once below the cluster's shared folder and read back, so that lineage ends there and no executor's disk holds it."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loresmith-stage"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(until_exit(spark, path))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query, table
 from ..operators.contracts import assigned_split, turns
+from ..operators.shared import shared_folder, until_exit
 
 FORMAT = "loresmith-scenes-1"
 SPLITS = ("train", "validation", "test")
@@ -95,8 +95,7 @@ def read_records(spark: SparkSession, path: str, split: str | None = None) -> Da
     SELECT CASE WHEN b < 8 THEN 'train' WHEN b = 8 THEN 'validation' ELSE 'test' END AS split, count(*) AS records, sum(messages)::BIGINT AS messages FROM s GROUP BY 1""")
 def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations published as a bundle by split, checked and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loresmith-stage"
-    output = f"{base.rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    output = shared_folder(spark, "bundle")
     records = turns(table(spark, sf_dir, "conversations")).select("conv_id", "messages", assigned_split(F.col("conv_id").cast("string")).alias("split"))
     write_bundle(records, output)
-    return read_bundle(spark, output).groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("messages")).alias("messages"))
+    return read_bundle(spark, until_exit(spark, output)).groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("messages")).alias("messages"))

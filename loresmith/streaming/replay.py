@@ -5,8 +5,6 @@ An extension of ours: the reference reads its ledger at once.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import ORACLE_SQL, query
 from ..operators import ledger
+from ..operators.shared import shared_folder, until_exit
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +36,7 @@ def windowed_spend(events: DataFrame, length: str = "6 hours", late: str = "1 da
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Drive a bounded stream to its end; each batch is written below the shared folder by the executors, and the written table is returned."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loresmith-stage"
-    path = f"{base.rstrip('/')}/replay-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "replay")
 
     def keep(batch: DataFrame, number: int) -> None:
         # a batch that runs again replaces what it wrote before
@@ -46,7 +44,7 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
     writer.foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(f"{path}/table").select(*stream.columns)
+    return spark.read.parquet(f"{until_exit(spark, path)}/table").select(*stream.columns)
 
 
 @query("""SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS requests, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL""")
