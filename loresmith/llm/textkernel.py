@@ -66,9 +66,11 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("") if column.null_count else column
-    column = column.cast(pa.large_string())
+    wide = pa.types.is_large_string(column.type)
+    if not (wide or pa.types.is_string(column.type)):
+        column, wide = column.cast(pa.large_string()), True
     buffers = column.buffers()
-    bounds = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    bounds = np.frombuffer(buffers[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(buffers[2], np.uint8)[bounds[0] : bounds[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
     return data, bounds - bounds[0]
 

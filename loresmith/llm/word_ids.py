@@ -20,9 +20,9 @@ from .textkernel import U, mix, ragged, slices, string_bytes, words
 #: Runs remembered by a worker (about 30 bytes each); beyond this the memory starts anew, which costs time and changes nothing.
 REMEMBERED = 1_000_000
 #: Bytes of text whose runs are made distinct together, and runs that go to the library in one string.
-GROUP_BYTES, GROUP_RUNS = 4 << 20, 512
+GROUP_BYTES, GROUP_RUNS = 2 << 20, 512
 #: Strings that the library holds at a time; what it keeps of a token is many times the id.
-STRINGS = 32
+STRINGS = 16
 LONGEST = 64
 #: The first of these that is one token stands between the runs of a string; a string with a run that holds it is encoded run by run.
 _MARKS = "★♥→•§"
