@@ -25,7 +25,7 @@ from .textkernel import frugal
 from .word_ids import word_ids
 
 #: Rounds of multiplicative weights, how strongly coverage moves a price, and by what part a pattern may miss the best price.
-ROUNDS, STEP, SLACK = 12, 0.5, 0.002
+ROUNDS, STEP, SLACK = 8, 0.5, 0.002
 #: Patterns that fill less than this part of the capacity are left to best fit.
 FULL = 1.0
 #: Parts into which the rows of one length are dealt for ranking.
@@ -48,9 +48,10 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     """Patterns and amounts that cover the counts without going beyond them; lengths descend.
 
     In each round every length that lags behind the round's goal starts a
-    pattern, which is walked down the knapsack table: of the lengths whose price
-    keeps the pattern within ``SLACK`` of the best, one is drawn in proportion to
-    what it lacks.
+    pattern, which is walked down the knapsack table.  The next length is drawn,
+    in proportion to what each lacks, from those that close the pattern exactly
+    at once or with one more; else from those whose price keeps the pattern
+    within ``SLACK`` of the best; else it is the best-priced that lacks anything.
     """
     draw = np.random.default_rng(seed)
     prices = lengths / capacity
@@ -61,19 +62,27 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
         best, fits = knapsack(lengths, prices, capacity)
         goal = counts * (t / rounds)
         lack = np.maximum(goal - covered, 0)
+        closes = np.zeros(capacity + 1, bool)
         for i, first in enumerate(sizes):
+            closes[lengths] = lack > 1e-6
+            closes[0] = True
             for _ in range(4):
                 if lack[i] <= 1e-6:
                     break
                 items, room = {i: 1}, capacity - first
                 while room >= sizes[-1]:
                     k = fits[room]
-                    near = prices[k:] + best[room - lengths[k:]] >= best[room] * (1 - SLACK)
-                    odds = np.cumsum(near * lack[k:])
-                    if odds[-1] <= 0:
+                    value = prices[k:] + best[room - lengths[k:]]
+                    wanted = np.where(lack[k:] > 1e-6, lack[k:], 0)
+                    # what fills the room at once, or leaves a room that some lacking length fills, goes first
+                    closing = wanted * closes[room - lengths[k:]]
+                    odds = np.cumsum(closing if closing.any() else np.where(value >= best[room] * (1 - SLACK), wanted, 0))
+                    if odds[-1] > 0:
+                        took = min(k + int(np.searchsorted(odds, draw.random() * odds[-1], "right")), len(sizes) - 1)
+                    elif wanted.any():
+                        took = k + int(np.where(wanted > 0, value, -1).argmax())
+                    else:
                         break
-                    took = k + int(np.searchsorted(odds, draw.random() * odds[-1], "right"))
-                    took = min(took, len(sizes) - 1)
                     times = max(1, min(room // sizes[took], int(lack[took] / max(lack[i], 1e-9))))
                     items[took] = items.get(took, 0) + times
                     room -= times * sizes[took]
@@ -184,6 +193,7 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = 4
     table = np.array(slots, np.int64).reshape(-1, 5)
     keys = np.array(sorted(first_rank), np.int64)
     spark = pieces.sparkSession
+    shift = 62 - int(capacity).bit_length()
     shared = spark.sparkContext.broadcast((table, keys, np.array([first_rank[int(k)] for k in keys], np.int64)))
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -191,9 +201,8 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = 4
         table, keys, first = shared.value
         size = length.to_numpy(np.int64)
         rank = first[np.searchsorted(keys, size * SALTS + part.to_numpy(np.int64))] + number.to_numpy(np.int64) - 1
-        top = int(table[:, 1].max()) + 1 if len(table) else 1
-        big = np.maximum(rank, 0).astype(object) if top > 1 << 50 else rank
-        found = np.searchsorted(table[:, 0] * top + table[:, 1], size * top + np.minimum(big, top - 1), "right") - 1
+        # one ordered number for (length, rank); lengths are at most the capacity
+        found = np.searchsorted(table[:, 0] << shift | table[:, 1], size << shift | rank, "right") - 1
         row = table[found]
         instance, copy = np.divmod(rank - row[:, 1], row[:, 2])
         return pd.DataFrame({"sequence_id": row[:, 3] + instance, "offset": row[:, 4] + copy * size})
