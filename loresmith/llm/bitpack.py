@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import shared_folder
+from ..operators.shared import until_exit
+from .staging import shared_folder, small, stage
 from .textkernel import frugal
 from .word_ids import word_ids
 
@@ -107,7 +108,7 @@ def read_block(shard: bytes, offset: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> str:
-    """Encode whole texts and write them in ascending id order; returns the folder.
+    """Encode whole texts and write them in ascending id order; returns the folder (without one given, a shared one that goes with the application).
 
     Documents are dealt by ranges of their id, sorted, encoded and packed task by
     task; Spark's own writer commits the shards, so a task that is run again
@@ -116,7 +117,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     stay null; rows with the same id stand side by side, ordered by text.
     """
     spark = docs.sparkSession
-    folder = folder or shared_folder(spark)
+    target = folder or shared_folder(spark)
 
     @frugal
     def encode(batches):
@@ -148,8 +149,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     # the text writer puts the bytes of a string down as they are, whatever they are
-    rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(folder)
-    return folder
+    rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(target)
+    return target if folder else until_exit(spark, target)
 
 
 def read_token_shards(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
@@ -178,7 +179,7 @@ def read_token_shards(spark: SparkSession, folder: str, id_col: str = "doc_id")
     before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals_from.select("shard", F.coalesce(before, F.lit(0)).alias("before"))  # one row per shard
     rows = files.select(name.alias("shard"), "content").mapInArrow(decode, f"shard string, {id_col} long, at long, n_tokens long, ids binary")
-    return rows.join(F.broadcast(totals), "shard").select(id_col, "shard", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return rows.join(small(stage(totals), 32), "shard").select(id_col, "shard", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def _totals(batches):

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import until_exit
+
 #: A side is broadcast only when its counted rows times its row width stay below this many bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -31,7 +33,7 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(until_exit(spark, path))
 
 
 def discard(folder: str, spark: SparkSession) -> None:

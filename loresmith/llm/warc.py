@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import until_exit
 from .staging import shared_folder, small, stage
 from .textkernel import frugal
 
@@ -145,7 +146,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 0, records_per_file: int = _RECORDS_PER_FILE) -> str:
-    """Write a record for each page; returns the folder of plain WARC files.
+    """Write a record for each page; returns the folder of plain WARC files (without one given, a shared one that goes with the application).
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, the one with
     the smallest id is the response and the others revisit it.  Null payload
@@ -155,7 +156,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     pages themselves move only where the repeated payloads are too many to send
     to each task.
     """
-    folder = folder or shared_folder(pages.sparkSession)
+    target = folder or shared_folder(pages.sparkSession)
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     digest = F.unhex(F.sha2(body, 256))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.when(F.length(body) >= least_bytes, digest).alias("h"))
@@ -171,8 +172,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
 
     # the text writer puts bytes down as they are; its line separator closes each record
     values = rows.mapInArrow(build, "value binary").select(F.col("value").cast("string"))
-    values.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(folder)
-    return folder
+    values.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(target)
+    return target if folder else until_exit(pages.sparkSession, target)
 
 
 def _rows(batches, gaps: bool):
