@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from ..catalogue import query, table
 
 MARKER = "<[^>]+>"
-#: Unicode white space, as a text is split into words.
-SPACE = r"(?U)\s+"
+# Fixed pattern: a word is a run of anything but Unicode white space and the four separators 1C to 1F.
+WORD = r"(?U)[^\s\x1C-\x1F]+"
 
 
 def render(text: Column, values: Column) -> Column:
@@ -43,7 +43,7 @@ def format_list(names: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, SPACE, -1), lambda w: w != "")).cast("long")
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
 def json_in_html(text: Column) -> Column:

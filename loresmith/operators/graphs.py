@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import query, table
-from .shared import checked, staged
+from .shared import checked, staged, staged_and_told
 
 
 def distances(edges: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
@@ -21,8 +21,8 @@ def distances(edges: DataFrame, starts: DataFrame, limit: int | None = None) ->
     while limit is None or k < limit:
         k += 1
         step = frontier.select("start", F.col("node").alias("source")).join(edges, "source").select("start", F.col("target").alias("node")).distinct()
-        frontier = staged(step.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("distance")))
-        if frontier.isEmpty():
+        frontier, told = staged_and_told(step.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("distance")), F.count(F.lit(1)).alias("rows"))
+        if not told["rows"]:
             break
         seen = seen.unionByName(frontier)
     return seen
@@ -40,10 +40,10 @@ def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     while True:
         k += 1
         step = frontier.select("start", F.col("node").alias("source")).join(edges, "source").select("start", F.col("target").alias("node")).distinct()
-        frontier = staged(step)
-        if frontier.isEmpty():
+        frontier, told = staged_and_told(step, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("start") == F.col("node")).alias("circles"))
+        if not told["rows"]:
             break
-        if k > most or not frontier.where("start = node").isEmpty():
+        if k > most or told["circles"]:
             raise ValueError("cyclic prerequisites")
         part = frontier.select("start", "node", F.lit(k).alias("level"))
         levels = part if levels is None else levels.unionByName(part)
@@ -58,20 +58,17 @@ def components(edges: DataFrame) -> DataFrame:
     Labels of hot nodes are found by partial aggregates, and joins move narrow
     rows; rounds grow with the logarithm of the longest way, not with it.
     """
-    found = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    loops = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = None
-    while True:
-        mark = found.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if mark == held:
-            break
-        held = mark
+    marks = F.count(F.lit(1)).alias("rows"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("mark")
+    found, told = staged_and_told(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), *marks)
+    loops, held = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), None
+    while told != held:
+        held = told
         both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
-        found = staged(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        found, told = staged_and_told(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), *marks)
     labels = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return loops.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

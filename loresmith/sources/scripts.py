@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import query, table
+from ..functions.text import word_count
 
 # Root kinds that are counted by name, and the operators that write a condition.
 ROOT_KINDS = ("mission", "conversation", "government", "news", "phrase")
@@ -102,7 +103,7 @@ def key_of(parts: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"(?U)\s+", -1), lambda w: w != ""))
+    return word_count(text).cast("int")
 
 
 def prose(nodes: DataFrame) -> DataFrame:
