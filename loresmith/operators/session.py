@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.index import Embed, SceneIndex
-from .retrieval import check_limit, cosine
+from .retrieval import check_limit, score
 from .selection import greedy_pack
 
 KINDS = ("all", "history", "reference")
@@ -68,7 +68,7 @@ class RetrievalSession:
         if len(made) != 1 or len(made[0]) != self.index.dimension or not any(made[0]):
             raise ValueError("the encoder's query vector is not sound")
         eligible = self.pool if kind == "all" else self.pool.where(F.col("kind") == kind)
-        return self.index.passages.join(eligible, "scene_id").withColumn("score", cosine(F.col("vector"), F.array(*map(F.lit, made[0]))))
+        return self.index.passages.join(eligible, "scene_id").withColumn("score", score(F.col("vector"), made[0]))
 
     def search_context(self, query: str | None = None, kind: str = "all", limit: int = 5, expand_scenes: bool = True) -> DataFrame:
         """The best scenes by their best passage, or the best passages; scenes that were selected before do not use up the limit."""

@@ -19,7 +19,7 @@ def plan(spark, name):
 
 @pytest.mark.parametrize(
     "name",
-    "vec_topk_passages vec_topk_scenes vec_query_plan conv_validate conv_render_prompt cross_split_owner dataset_coverage outcome_tally generation_coverage paired_difference budget_gate failure_streak greedy_packing text_word_inventory marker_render expr_eval cond_filter scene_ids seeded_pick".split(),
+    "conv_validate conv_render_prompt cross_split_owner dataset_coverage outcome_tally generation_coverage paired_difference budget_gate failure_streak greedy_packing text_word_inventory marker_render expr_eval cond_filter scene_ids seeded_pick".split(),
 )
 def test_hot_paths_stay_in_the_engine(spark, name):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan(spark, name))
@@ -39,6 +39,12 @@ def test_filters_reach_the_scan(spark, name, pushed):
     assert pushed in text or (name == "vec_eligible_topk" and "PushedFilters" in text)
 
 
+@pytest.mark.parametrize("name", ["vec_topk_passages", "vec_topk_scenes", "vec_query_plan"])
+def test_vectors_are_scored_once_by_arrow_batches(spark, name):
+    text = plan(spark, name)
+    assert len(re.findall(r"^\(\d+\) ArrowEvalPython", text, re.MULTILINE)) == 1 and not re.search("BatchEvalPython|CartesianProduct|BroadcastNestedLoopJoin", text)
+
+
 def test_top_k_is_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(spark, "vec_topk_passages") and "TakeOrderedAndProject" in plan(spark, "vec_topk_scenes")
 

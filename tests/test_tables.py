@@ -57,6 +57,12 @@ def test_hidden_scene_is_never_ranked_and_ties_go_by_id(spark):
             retrieval.check_limit(bad)
 
 
+def test_scores_of_unsound_vectors_are_null(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [4.0, 3.0]), (6, [float("nan"), 1.0])], "i int, v array<double>").coalesce(1)
+    assert [r.s for r in rows.orderBy("i").select(retrieval.scores(F.col("v"), [[1.0, 0.0], [0.0, 2.0]]).alias("s")).collect()] == [[0.6, 0.8], None, None, None, [0.8, 0.6], None]
+    assert [r.s for r in rows.where("i IN (1, 5)").select(retrieval.cosine(F.col("v"), F.array(F.lit(1.0), F.lit(0.0))).alias("s")).collect()] == [0.6, 0.8]
+
+
 def test_vectors_that_cannot_be_indexed(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, []), (7, None)], "i int, v array<double>")
     got = {r.i: r.f for r in rows.select("i", retrieval.vector_fault(F.col("v"), 2).alias("f")).collect()}
