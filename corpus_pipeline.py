@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loresmith.llm import exact_dedup, near_dedup, packing, subword_classifier
 from loresmith.llm.queries import WORD_BPE, id_remainder, table
-from loresmith.llm.staging import stage
+from loresmith.llm.staging import small_batches, stage
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 4096 tokens."""
+    small_batches(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path(WORD_BPE), end_id=1, capacity=4096)
     return packing.pack_pieces(pieces.select("doc_id", "piece", "start", "length"), "length", 4096)
 

@@ -29,6 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loresmith-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that goes to a worker, where the session still has Spark's default of 64 MB.
+BATCH_BYTES = "4m"
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "67108864")
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's Arrow batch size unless somebody has set it: texts are long, and a batch stands in memory on both sides of the pipe."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT[0]) in _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+    return spark
+
+
 def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from .textkernel import U, mix, ragged, slices, string_bytes, words
 
 #: Runs remembered by a worker (about 30 bytes each); beyond this the memory starts anew, which costs time and changes nothing.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Bytes of text whose runs are made distinct together, and runs that go to the library in one string.
 GROUP_BYTES, GROUP_RUNS = 2 << 20, 512
 #: Strings that the library holds at a time; what it keeps of a token is many times the id.
