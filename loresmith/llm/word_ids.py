@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from .textkernel import U, mix, ragged, slices, string_bytes, words
 
-#: Runs remembered by a worker (about 30 bytes each); beyond this the memory starts anew, which costs time and changes nothing.
+#: Runs remembered by a worker (about 40 bytes each); beyond this those met only once are forgotten, which costs time and changes nothing.
 REMEMBERED = 400_000
 #: Bytes of text whose runs are made distinct together, and runs that go to the library in one string.
 GROUP_BYTES, GROUP_RUNS = 2 << 20, 512
@@ -43,6 +43,15 @@ class WordIds:
 
     def forget(self) -> None:
         self.keys, self.at, self.count, self.ids = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.met = np.zeros(0, np.int32)
+
+    def forget_rare(self) -> None:
+        """Keep the runs that several groups of texts held, at most half of what may be remembered."""
+        least = max(2, int(np.partition(self.met, -(REMEMBERED // 2))[-(REMEMBERED // 2)]) + 1 if len(self.met) > REMEMBERED // 2 else 2)
+        kept = np.flatnonzero(self.met >= least)
+        count = self.count[kept]
+        self.ids = self.ids[ragged(self.at[kept], count)]
+        self.keys, self.count, self.at, self.met = self.keys[kept], count, np.cumsum(count) - count, self.met[kept] // 2 + 1
 
     def _encode(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of runs, one after another, and how many each has."""
@@ -78,6 +87,7 @@ class WordIds:
         where = np.searchsorted(self.keys, key)
         self.keys, self.at, self.count = np.insert(self.keys, where, key), np.insert(self.at, where, at), np.insert(self.count, where, count)
         self.ids = np.r_[self.ids, ids]
+        self.met = np.insert(self.met, where, 0)
 
     def encode(self, column: pa.Array, last: int):
         """Yields, for stretches of the column, the ids of all its texts, each followed by ``last``, and the bounds of the texts in them."""
@@ -96,7 +106,7 @@ class WordIds:
                 key = key.copy()
                 key[long] = mix(np.arange(len(long), dtype=U) + U(1 << 60)) | U(1)
             if len(self.keys) > REMEMBERED:
-                self.forget()
+                self.forget_rare()
             distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             found = np.searchsorted(self.keys, distinct)
             known = np.zeros(len(distinct), bool)
@@ -109,6 +119,8 @@ class WordIds:
             ids = self.ids
             found = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
             place, count = (self.at[found], self.count[found]) if len(self.keys) else (np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64))
+            if len(self.keys):
+                self.met[found[size[first] <= LONGEST]] += 1
             alone = np.flatnonzero(size[first] > LONGEST)
             if len(alone):
                 extra, each = self._encode(part, start[first[alone]], size[first[alone]])

@@ -189,6 +189,18 @@ def test_runs_give_the_ids_of_whole_texts():
         assert got == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in part]
 
 
+def test_forgetting_changes_no_ids(monkeypatch):
+    from loresmith.llm import word_ids as module
+
+    monkeypatch.setattr(module, "REMEMBERED", 50)
+    monkeypatch.setattr(module, "GROUP_BYTES", 400)
+    rng, coder = random.Random(8), WordIds(WORD_BPE)
+    texts = [prose(rng.randint(0, 80), rng) for _ in range(120)]
+    got = [ids[a:b].tolist() for ids, bounds in coder.encode(pa.array(texts), 7) for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert 0 < len(coder.keys) < 400
+
+
 # 4 token counts
 
 
