@@ -4,8 +4,11 @@ The program has a row for each piece length and a column for each pattern (a
 multiset of lengths that fits).  Multiplicative weights price the lengths, a
 knapsack dynamic program finds the patterns of best price, their average is the
 fractional packing, and it is rounded down; what rounding leaves is placed by
-best fit.  The driver sees only the histogram of lengths, which the capacity
-bounds; ranks inside a length and places are worked out on the executors.
+best fit.  Where that stays above the bound of volume, the program is solved by
+column generation (simplex pivots over patterns priced by the knapsack), and all
+its patterns are rounded, full or not; the plan of fewest sequences is used.
+The driver sees only the histogram of lengths, which the capacity bounds; ranks
+inside a length and places are worked out on the executors.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from .word_ids import word_ids
 
 #: Rounds of multiplicative weights, how strongly coverage moves a price, and by what part a pattern may miss the best price.
 ROUNDS, STEP, SLACK = 8, 0.5, 0.002
-#: Patterns that fill less than this part of the capacity are left to best fit.
-FULL = 1.0
+#: Most pivots of column generation, and the part above the bound of volume from which it is tried.
+PIVOTS, GAP = 2000, 0.001
 #: Parts into which the rows of one length are dealt for ranking.
 SALTS = 64
 
@@ -98,6 +101,68 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     return amounts
 
 
+def reachable(lengths: np.ndarray, capacity: int) -> int:
+    """The largest sum of lengths, each taken any number of times, that is within the capacity."""
+    sums, mask = 1, (1 << capacity + 1) - 1
+    for length in lengths.tolist():
+        step = length
+        while step <= capacity:
+            sums |= sums << step & mask
+            step *= 2
+    return sums.bit_length() - 1
+
+
+def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How often the pattern of best price takes each length; lengths without a price above 0 are not taken."""
+    best, taken = np.zeros(capacity + 1), []
+    for i in np.flatnonzero(prices > 0).tolist():
+        times = 1
+        while times * lengths[i] <= capacity:
+            step = times * int(lengths[i])
+            with_it = best[:-step] + times * prices[i]
+            better = with_it > best[step:] + 1e-12
+            best[step:] = np.where(better, with_it, best[step:])
+            taken.append((i, times, step, better))
+            times *= 2
+    out, room = np.zeros(len(lengths)), capacity
+    for i, times, step, better in reversed(taken):
+        if room >= step and better[room - step]:
+            out[i] += times
+            room -= step
+    return out
+
+
+def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int, pivots: int = PIVOTS) -> dict[Pattern, float]:
+    """Patterns and amounts of the linear program's optimum (or of the cover after the last pivot); lengths descend.
+
+    A pattern for each length begins the basis.  Each pivot brings in the
+    pattern of best price under the basis's dual prices, until none is worth
+    more than the one sequence it takes.
+    """
+    basis = np.diag((capacity // lengths).astype(float))  # a column for each pattern
+    inverse = np.diag(1 / basis.diagonal())
+    amount = counts / basis.diagonal()
+    for _ in range(pivots):
+        prices = inverse.sum(axis=0)
+        entering = best_pattern(lengths, prices, capacity)
+        if prices @ entering <= 1 + 1e-9:
+            break
+        change = inverse @ entering
+        ratio = np.divide(amount, change, out=np.full(len(amount), np.inf), where=change > 1e-9)
+        out = int(ratio.argmin())
+        least = max(ratio[out], 0.0)
+        amount = np.maximum(amount - least * change, 0)
+        amount[out] = least
+        row = inverse[out] / change[out]
+        inverse -= np.outer(change, row)
+        inverse[out] = row
+        basis[:, out] = entering
+    found: dict[Pattern, float] = defaultdict(float)
+    for k in np.flatnonzero(amount > 0).tolist():
+        found[tuple((int(lengths[i]), int(basis[i, k])) for i in np.flatnonzero(basis[:, k]))] += float(amount[k])
+    return found
+
+
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Best fit, longest first, over counts of lengths; equal bins are handled together."""
     rooms: list[int] = []
@@ -134,23 +199,14 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     return [(tuple(sorted(items.items(), reverse=True)), times) for group in bins.values() for items, times in group]
 
 
-def packing_plan(histogram: Iterable[tuple[int, int]], capacity: int, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
-    """Patterns and how often each is used; together they hold exactly the histogram."""
-    left = {int(k): int(n) for k, n in histogram if n}
-    if not left:
-        return []
-    if min(left) < 1 or max(left) > capacity:
-        raise ValueError(f"lengths must be from 1 to {capacity}")
-    lengths = np.array(sorted(left, reverse=True))
-    amounts = fractional(lengths, np.array([left[int(x)] for x in lengths], float), capacity, rounds)
+def rounded(amounts: list[tuple[Pattern, float]], histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Amounts rounded down in their order, what rounding leaves of one being carried to the next; the rest by best fit."""
+    left = dict(histogram)
     plan: list[tuple[Pattern, int]] = []
-    used_room = lambda p: sum(x * n for x, n in p)
     carried = 0.0
-    for pattern, amount in sorted(amounts.items(), key=lambda x: (-used_room(x[0]), x[0])):
-        if used_room(pattern) < FULL * capacity:
-            break
+    for pattern, amount in amounts:
         carried += amount
-        times = min(int(carried), *(left[x] // n for x, n in pattern))
+        times = min(int(carried + 1e-6), *(left[x] // n for x, n in pattern))
         carried = min(carried - times, 1.0)
         if times > 0:
             plan.append((pattern, times))
@@ -159,6 +215,33 @@ def packing_plan(histogram: Iterable[tuple[int, int]], capacity: int, rounds: in
     return plan + best_fit({x: n for x, n in left.items() if n}, capacity)
 
 
+def packing_plan(histogram: Iterable[tuple[int, int]], capacity: int, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
+    """Patterns and how often each is used; together they hold exactly the histogram.
+
+    Of these the plan of fewest sequences: all patterns of the fractional
+    packing rounded; only its fullest patterns rounded (the others may be poor,
+    where best fit is better); and where neither is within ``GAP`` of the bound,
+    all patterns of the linear program's optimum rounded.
+    """
+    left = {int(k): int(n) for k, n in histogram if n}
+    if not left:
+        return []
+    if min(left) < 1 or max(left) > capacity:
+        raise ValueError(f"lengths must be from 1 to {capacity}")
+    lengths = np.array(sorted(left, reverse=True))
+    counts = np.array([left[int(x)] for x in lengths], float)
+    capacity = reachable(lengths, capacity)  # no sequence can hold more
+    used_room = lambda p: sum(x * n for x, n in p)
+    size = lambda plan: sum(n for _, n in plan)
+    amounts = sorted(fractional(lengths, counts, capacity, rounds).items(), key=lambda x: (-used_room(x[0]), x[0]))
+    plan = min(rounded(amounts, left, capacity), rounded([x for x in amounts if used_room(x[0]) == capacity], left, capacity), key=size)
+    bound = max(-(-sum(x * n for x, n in left.items()) // capacity), sum(n for x, n in left.items() if 2 * x > capacity))
+    if size(plan) > bound * (1 + GAP) + 1:
+        optimum = sorted(column_generation(lengths, counts, capacity).items(), key=lambda x: (-x[1], x[0]))
+        plan = min(plan, rounded(optimum, left, capacity), key=size)
+    return plan
+
+
 def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = 4096, key_cols: tuple[str, ...] = ("doc_id", "piece"), rounds: int = ROUNDS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: gapless from 0 in each sequence, at most ``capacity`` long.
 

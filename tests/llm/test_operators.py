@@ -369,6 +369,18 @@ def test_three_lengths_that_fill_exactly():
     assert sum(t for _, t in plan) == 100
 
 
+def test_lengths_without_exact_sums_come_to_the_bound_of_the_linear_program():
+    histogram = {2055: 6000, 1030: 6000, 1035: 6000, 1010: 12000}
+    plan = packing.packing_plan(histogram.items(), 4096)
+    held = Counter()
+    for pattern, times in plan:
+        assert sum(x * n for x, n in pattern) <= 4096
+        for x, n in pattern:
+            held[x] += n * times
+    # prices of 1/2 for 2055 and 1/4 for the others are feasible in the dual: no pattern is worth more than 1
+    assert held == histogram and sum(t for _, t in plan) == 6000 / 2 + 24000 / 4
+
+
 # 8 n-best
 
 
