@@ -95,6 +95,16 @@ def chain_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_faults(edges, splits).select("chain", F.size("splits").cast("long").alias("splits"))
 
 
+@query()
+def chain_splits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over links from every mission; held to a union-find in the tests, since recursion in SQL is too slow on long chains."""
+    p = F.col("p_partkey")
+    edges = table(spark, sf_dir, "part").select(p.alias("a"), (p + 7).alias("b"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("mission")).distinct()
+    splits = nodes.where("mission % 3 > 0").select("mission", assigned_split(F.col("mission").cast("string")).alias("split"))
+    return chain_faults(edges, splits).select("chain", F.size("splits").cast("long").alias("splits"))
+
+
 @query(r"""SELECT n.name, count(*) AS documents FROM (SELECT unnest(['the', 'de', 'der', 'que', 'est']) AS name) n JOIN documents d ON regexp_matches(d.text, '(^|[^\pL\pN_])' || n.name || '($|[^\pL\pN_])') GROUP BY n.name""")
 def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that a text names as whole words; the names are a stated list, so each text is read once."""

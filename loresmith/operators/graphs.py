@@ -108,6 +108,36 @@ def distance_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("distance BETWEEN 1 AND 3").groupBy(F.col("start").alias("centre")).agg(F.count(F.lit(1)).alias("systems"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS source, p_partkey // 2 AS target FROM part UNION SELECT p_partkey, p_partkey // 3 FROM part),
+    w AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS distance FROM part UNION SELECT w.start, e.target, w.distance + 1 FROM w JOIN e ON e.source = w.node WHERE w.node <> 0)
+    SELECT start::BIGINT AS start, node::BIGINT AS node, min(distance)::INT AS distance FROM w GROUP BY ALL""")
+def bfs_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps along prerequisite links from every node, in as many rounds as it takes."""
+    p = F.col("p_partkey").cast("long")
+    part = table(spark, sf_dir, "part")
+    edges = part.select(p.alias("source"), F.explode(F.array(F.floor(p / 2), F.floor(p / 3))).alias("target"))
+    return distances(edges, part.select(p.alias("start"))).select("start", "node", "distance")
+
+
+@query()
+def connected_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of all lines that share a part, directly or through others; held to a union-find in the tests, since recursion in SQL is too slow."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + (1 << 40)).alias("b"))
+    return components(edges).where(F.col("node") < 1 << 40)
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey::BIGINT AS a, o_orderkey + {1 << 40} AS b FROM orders), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    w AS (SELECT DISTINCT a AS source, a AS node, 0 AS d FROM l UNION SELECT w.source, l.b, w.d + 1 FROM w JOIN l ON l.a = w.node WHERE w.d < 3),
+    m AS (SELECT source, node, min(d) AS d FROM w GROUP BY ALL)
+    SELECT source AS centre, count(*) AS systems FROM m WHERE d BETWEEN 1 AND 3 GROUP BY source""")
+def distance_band_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band of one to three jumps around each customer and each order, over all orders and without folding their keys."""
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_orderkey") + (1 << 40)).alias("b")).distinct()
+    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("source", "target")
+    found = distances(links, links.select(F.col("source").alias("start")).distinct(), limit=3)
+    return found.where("distance BETWEEN 1 AND 3").groupBy(F.col("start").alias("centre")).agg(F.count(F.lit(1)).alias("systems"))
+
+
 @query("""WITH d AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0 AND p_size > 10),
     f AS (SELECT p.child, count(*) AS producers FROM d p JOIN part x ON x.p_partkey = p.parent WHERE x.p_size > 5 GROUP BY p.child)
     SELECT child, producers FROM f""")

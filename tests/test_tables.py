@@ -210,3 +210,39 @@ def test_conversations_of_two_splits(spark):
     assert [r.conversation for r in datasets.conversation_owner_faults(users, splits).collect()] == ["talk"]
     assert [r.group for r in datasets.repeated_groups(spark.createDataFrame([(1,), (1,), (2,)], "group int")).collect()] == [1]
     assert datasets.settings_differences({"a": 1, "b": 2}, {"a": 1, "b": 3, "c": 4}, ("a", "b")) == ["b"]
+
+
+def _least_of_groups(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_graph_queries_over_all_rows(spark, duck):
+    import hashlib
+
+    lines = duck.sql("SELECT l_orderkey, l_partkey + (1::BIGINT << 40) FROM lineitem").fetchall()
+    got = {r.node: r.component for r in catalogue.QUERIES["connected_groups_all"](spark, DATA).collect()}
+    assert got == {k: v for k, v in _least_of_groups(lines).items() if k < 1 << 40}
+    parts = [p for (p,) in duck.sql("SELECT p_partkey FROM part").fetchall()]
+    want = {}
+    for p, chain in _least_of_groups([(p, p + 7) for p in parts]).items():
+        if p % 3:
+            share = int(hashlib.sha256(str(p).encode()).hexdigest()[:8], 16) % 10
+            want.setdefault(chain, set()).add("train" if share < 8 else "validation" if share == 8 else "test")
+    got = {r.chain: r.splits for r in catalogue.QUERIES["chain_splits_all"](spark, DATA).collect()}
+    assert got == {k: len(v) for k, v in want.items() if len(v) > 1}
+    starts = {r.start for r in catalogue.QUERIES["bfs_distance_all"](spark, DATA).select("start").distinct().collect()}
+    assert starts == set(parts)
+    orders, customers = duck.sql("SELECT count(*), count(DISTINCT o_custkey) FROM orders").fetchall()[0]
+    assert catalogue.QUERIES["distance_band_all"](spark, DATA).count() == orders + customers
