@@ -137,6 +137,16 @@ def block_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("source"), F.lit(" — on "), F.col("lang"), F.lit("\n"), F.array_join(passages, "\n\n")).alias("block"))
 
 
+@query("""WITH d AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS p FROM documents)
+    SELECT doc_id, md5(source || ' — on ' || lang || chr(10) || array_to_string(list_transform(p, lambda x, i: CASE WHEN i = len(p) THEN 'Player choice: ' || x ELSE x END), chr(10) || chr(10))) AS block FROM d""")
+def block_render_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the text as a passage, the last marked as the choice; the digest of the whole block."""
+    lines = F.split("text", "\n", -1)
+    passages = F.transform(lines, lambda x, i: F.when(i == F.size(lines) - 1, F.concat(F.lit("Player choice: "), x)).otherwise(x))
+    block = F.concat(F.col("source"), F.lit(" — on "), F.col("lang"), F.lit("\n"), F.array_join(passages, "\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(block).alias("block"))
+
+
 @query("""SELECT n_nationkey, sha256('{"key": ' || n_nationkey || ', "name": "' || n_name || '", "region": null}') AS fingerprint FROM nation""")
 def json_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys are sorted before hashing, whatever order they come in, and a null that is there counts."""
