@@ -134,6 +134,13 @@ def shared_context_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count_distinct("lang").alias("contexts")).where("contexts > 1")
 
 
+@query("""SELECT source AS sample, count(DISTINCT lang) AS contexts FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1""")
+def shared_context_check_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all documents."""
+    rows = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("sample"))
+    return rows.agg(F.count_distinct("lang").alias("contexts")).where("contexts > 1")
+
+
 @query(f"""WITH g AS ({_GENERATION}), k AS (SELECT doc_id, condition, ('0x' || right(sha256(concat('seed:', doc_id::VARCHAR)), 1))::INT % 2 AS flip FROM g WHERE status = 'ok')
     SELECT left(sha256(concat('trial:', doc_id::VARCHAR)), 32) AS trial_id, doc_id AS sample_id, condition, CASE WHEN flip = 0 THEN 'A' ELSE 'B' END AS original FROM k""")
 def trial_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,13 @@ def topic_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("topic")).where("length(topic) = 3").groupBy("topic").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query("""SELECT topic, count(*) AS records FROM (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS topic FROM documents) GROUP BY topic""")
+def topic_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all sources and topics of any length."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query(r"""WITH k AS (SELECT p_partkey, replace(lower(p_name), ' ', CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '_' ELSE '--' END) AS slug FROM part)
            SELECT p_partkey, slug, regexp_full_match(slug, '[a-z0-9]+(?:[-_][a-z0-9]+)*') AS valid FROM k""")
 def slug_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +227,20 @@ def loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("tokens"), labels.alias("labels")).select("doc_id", "tokens", F.aggregate("labels", F.lit(0).cast("long"), lambda s, x: s + x).alias("label_sum"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"))
 
 
+@query("""WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)::BIGINT) AS ids FROM documents)
+           SELECT doc_id, len(ids)::BIGINT AS tokens, list_sum(list_transform(ids, lambda x, i: CASE WHEN i <= len(ids) // 2 THEN -100 ELSE x END))::BIGINT AS label_sum,
+             len(list_filter(list_transform(ids, lambda x, i: CASE WHEN i <= len(ids) // 2 THEN -100 ELSE x END), lambda x: x = -100))::BIGINT AS masked,
+             CASE WHEN len(ids) NOT BETWEEN 2 AND 300 THEN 'expected 2..300 tokens' END AS fault FROM t""")
+def loss_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with the prefix masked by -100; one that the reference would refuse for its length stays and is named so."""
+    ids = F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
+    labels = F.transform("ids", lambda x, i: F.when(i < F.floor(F.size("ids") / 2), F.lit(-100).cast("long")).otherwise(x))
+    told = rows.select("doc_id", F.size("ids").cast("long").alias("tokens"), labels.alias("labels"))
+    fault = F.when(~F.col("tokens").between(2, 300), "expected 2..300 tokens")
+    return told.select("doc_id", "tokens", F.aggregate("labels", F.lit(0).cast("long"), lambda s, x: s + x).alias("label_sum"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"), fault.alias("fault"))
+
+
 @query("""SELECT 'labelled, not a document' AS difference, count(*) AS rows FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
            UNION ALL SELECT 'document without a label', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def inventory_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,9 +212,26 @@ def scene_union(spark: SparkSession, sf_dir: str) -> DataFrame:
            SELECT scene_id, k::BIGINT AS passage_index, length(authored)::BIGINT AS authored_chars, length(replace(authored, 'the', 'THE'))::BIGINT AS runtime_chars FROM a""")
 def runtime_to_authored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runtime passages meet authored ones by position, strictly: both come from one row, so the zip needs no join; a missing partner would be null and is an error."""
-    source = table(spark, sf_dir, "documents").where("source = 'src1'")
+    return _runtime_to_authored(table(spark, sf_dir, "documents").where("source = 'src1'"))
+
+
+def _runtime_to_authored(source: DataFrame) -> DataFrame:
     authored = F.split("text", "\n", -1)
     runtime = F.split(F.replace("text", F.lit("the"), F.lit("THE")), "\n", -1)
     strict = F.when(F.size(authored) == F.size(runtime), F.arrays_zip(authored.alias("a"), runtime.alias("r"))).otherwise(F.raise_error(F.lit("runtime and authored passages differ in number")))
     rows = source.select(F.col("doc_id").alias("scene_id"), F.posexplode(strict).alias("passage_index", "p"))
     return rows.select("scene_id", F.col("passage_index").cast("long").alias("passage_index"), F.length("p.a").cast("long").alias("authored_chars"), F.length("p.r").cast("long").alias("runtime_chars"))
+
+
+@query("""SELECT sha256(text) AS scene_id, min(length(text))::BIGINT AS chars, count(DISTINCT doc_id % 2) AS splits FROM documents GROUP BY sha256(text)""")
+def scene_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes of both splits in one dictionary keyed by content, over all documents; the split is a column."""
+    scene = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("scene_id"), F.length("text").cast("long").alias("chars"), (F.col("doc_id") % 2).alias("split"))
+    return scene.groupBy("scene_id").agg(F.min("chars").alias("chars"), F.count_distinct("split").alias("splits"))
+
+
+@query("""WITH a AS (SELECT doc_id AS scene_id, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS authored FROM documents)
+           SELECT scene_id, k::BIGINT AS passage_index, length(authored)::BIGINT AS authored_chars, length(replace(authored, 'the', 'THE'))::BIGINT AS runtime_chars FROM a""")
+def runtime_to_authored_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the documents of all sources."""
+    return _runtime_to_authored(table(spark, sf_dir, "documents"))

@@ -118,3 +118,10 @@ def source_order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected blocks stand in source order, whatever order they were selected in."""
     rows = table(spark, sf_dir, "conversations").where(F.col("turn").isin(2, 0)).groupBy("conv_id")
     return rows.agg(F.array_sort(F.collect_list("turn")).alias("turns"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""SELECT conv_id, list(turn ORDER BY turn) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
+def source_order_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all turns."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id")
+    return rows.agg(F.array_sort(F.collect_list("turn")).alias("turns"), F.sum(F.length("text")).alias("chars"))
