@@ -21,6 +21,7 @@ VERSION = b"WARC/1.1"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORDS_PER_FILE = 5000
+_STEP = 4096
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -98,17 +99,32 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return Record(at, headers, block, payload), end + 4
 
 
-def _parse_member(data: bytes, at: int) -> tuple[Record, int]:
-    inflate = zlib.decompressobj(31)
+def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+    """A gzip member's bytes, and where it ends; damage carries what came before it."""
+    inflate, parts, k = zlib.decompressobj(31), [], at
     try:
-        plain = inflate.decompress(memoryview(data)[at:])
+        while k < len(data) and not inflate.eof:
+            parts.append(inflate.decompress(memoryview(data)[k : k + _STEP]))
+            k = min(k + _STEP, len(data))
     except zlib.error as e:
-        raise Damage(f"member: {e}") from e
+        raise Damage(f"member: {e}", b"".join(parts)) from e
     if not inflate.eof:
-        raise Damage("the member does not end")
-    found, _ = _parse(plain, 0)
-    found.offset = at
-    return found, len(data) - len(inflate.unused_data)
+        raise Damage("the member does not end", b"".join(parts))
+    return b"".join(parts), k - len(inflate.unused_data)
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """All records and gaps of a gzip member: records at the member's offset, a gap as the member's bytes, with the place in what it holds in its reason."""
+    plain, after = _inflate(data, at)
+    if not plain:
+        return [Gap(at, after, "the member is empty")], after
+    found = list(_salvage(plain, False))
+    for x in found:
+        if isinstance(x, Record):
+            x.offset = at
+        else:
+            x.reason, x.start, x.end = f"{x.reason} (bytes {x.start} to {x.end} of the member)", at, after
+    return found, after
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -118,14 +134,33 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     member of a compressed archive or the next version line of a plain one.
     Records that follow the damage are found again; a wrong length in one
     record cannot hide the next, since its version line is inside the stretch.
+    A member may hold any number of records; what it inflates to is salvaged
+    like a plain archive.
     """
     packed = data[:2] == b"\x1f\x8b" or (not _START.match(data) and b"\x1f\x8b\x08" in data and not _START.search(data))
+    return _salvage(data, packed)
+
+
+def _salvage(data: bytes, packed: bool) -> Iterator[Record | Gap]:
     at, gap = 0, None
     while at < len(data):
         try:
-            found, after = (_parse_member if packed else _parse)(data, at)
+            if packed:
+                found, after = _member(data, at)
+            else:
+                record_, after = _parse(data, at)
+                found = [record_]
         except Damage as e:
-            gap = gap or Gap(at, at, str(e))
+            # records that a damaged member held before its damage are checked by their own lengths and digests
+            before = [x for x in _salvage(e.args[1], False) if isinstance(x, Record)] if len(e.args) > 1 else []
+            if gap and before:
+                gap.end = at
+                yield gap
+                gap = None
+            for x in before:
+                x.offset = at
+                yield x
+            gap = gap or Gap(at, at, e.args[0])
             if packed:
                 at = data.find(b"\x1f\x8b\x08", at + 1)
             else:
@@ -135,10 +170,10 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
                 break
             continue
         if gap:
-            gap.end = found.offset
+            gap.end = at
             yield gap
             gap = None
-        yield found
+        yield from found
         at = after
     if gap:
         gap.end = len(data)

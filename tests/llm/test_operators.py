@@ -313,6 +313,22 @@ def test_salvage_goes_on_after_damage():
     assert [(g.start, g.end) for g in out if isinstance(g, warc.Gap)] == [(int(ends[4]), int(ends[5]))]
 
 
+def test_members_of_several_records_are_salvaged_whole():
+    records = [bytearray(warc.record(k, f"http://x/{k}", b"p" * k, None) + b"\r\n\r\n") for k in range(1, 5)]
+    member = lambda rows: gzip.compress(b"".join(rows), mtime=0)
+    names = lambda data: [x.headers["warc-record-id"] if isinstance(x, warc.Record) else "gap" for x in warc.salvage(data)]
+    every = [warc.record_name(k) for k in range(1, 5)]
+    assert names(member(records)) == every
+    assert names(member(records[:2]) + member(records[2:])) == every
+    for k in range(4):
+        damaged = [bytearray(r) for r in records]
+        damaged[k][-5] ^= 0xFF
+        assert names(member(damaged)) == [*every[:k], "gap", *every[k + 1 :]]
+    noise = np.random.default_rng(1)
+    large = [warc.record(k, "u", noise.bytes(20000), None) + b"\r\n\r\n" for k in range(1, 5)]
+    assert names(member(large)[:70000] + member(records[3:])) == [*every[:3], "gap", every[3]]
+
+
 # 7 packing
 
 
