@@ -235,3 +235,118 @@ def scene_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runtime_to_authored_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over the documents of all sources."""
     return _runtime_to_authored(table(spark, sf_dir, "documents"))
+
+
+#: Queries of one block: their vectors are collected and every batch of rows is scored against all of them at once.
+BLOCK = 1024
+
+
+def top_by_query(queries: DataFrame, passages: DataFrame, limit: int, by_scene: bool, others_only: bool = False) -> DataFrame:
+    """(query_id, place, label, vec_id, score): the best passages, or the best scenes by their best passage, of each query.
+
+    Both tables have ``vec_id``, ``label`` and ``embedding``.  A block of
+    queries at a time is scored against each Arrow batch by one matrix product,
+    and only a batch's best ``limit`` rows of each query move: what is among the
+    best of all is among the best of its batch.  With ``others_only`` a query is
+    not compared with itself.  Vectors that are null, of another dimension or
+    without length are not ranked, and such queries have no rows.
+    """
+    check_limit(limit)
+    spark = passages.sparkSession
+    ids = queries.select("vec_id").distinct()
+    edges = [r[0] for r in ids.withColumn("k", F.row_number().over(Window.orderBy("vec_id"))).where((F.col("k") - 1) % BLOCK == 0).orderBy("vec_id").select("vec_id").collect()]
+    schema = "query_id long, label long, vec_id long, score double"
+    out = None
+    for k, low in enumerate(edges):
+        here = queries.where(F.col("vec_id") >= low) if k + 1 == len(edges) else queries.where((F.col("vec_id") >= low) & (F.col("vec_id") < edges[k + 1]))
+        found = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in here.where("embedding IS NOT NULL").select("vec_id", "embedding").collect()}
+        shared = spark.sparkContext.broadcast({i: v / np.linalg.norm(v) for i, v in found.items() if len(v) and np.isfinite(v).all() and np.linalg.norm(v) > 0})
+
+        def run(batches, shared=shared):
+            by_size: dict[int, list[int]] = {}
+            for i, v in shared.value.items():
+                by_size.setdefault(len(v), []).append(i)
+            for batch in batches:
+                v = batch.column(2)
+                sizes = v.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                for dimension, names in by_size.items():
+                    fits = np.flatnonzero(sizes == dimension)
+                    m = v.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+                    length = np.sqrt((m * m).sum(axis=1))
+                    good = np.isfinite(length) & (length > 0)
+                    rows = fits[good]
+                    if not len(rows):
+                        continue
+                    vec, label = (batch.column(c).to_numpy(zero_copy_only=False)[rows] for c in (0, 1))
+                    order = np.lexsort((vec, label)) if by_scene else np.argsort(vec, kind="stable")
+                    vec, label, unit_rows = vec[order], label[order], (m[good] / length[good, None])[order]
+                    starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if by_scene else None
+                    names = np.array(names)
+                    for a in range(0, len(names), 64):  # bounds the scores held at once
+                        part = names[a : a + 64]
+                        score = np.round(unit_rows @ np.array([shared.value[i] for i in part.tolist()]).T, 9)
+                        if others_only:
+                            score[vec[:, None] == part[None, :]] = -np.inf
+                        for j, name in enumerate(part.tolist()):
+                            s = score[:, j]
+                            if by_scene:
+                                best = np.maximum.reduceat(s, starts)
+                                hit = np.flatnonzero(s == np.repeat(best, np.diff(np.r_[starts, len(s)])))
+                                at = hit[np.unique(label[hit], return_index=True)[1]]  # of equal scores the least id
+                            else:
+                                at = np.arange(len(s))
+                            if len(at) > limit:
+                                least = np.partition(s[at], len(at) - limit)[len(at) - limit]
+                                at = at[s[at] >= least]
+                            at = at[np.lexsort((vec[at], -s[at]))][:limit]
+                            at = at[np.isfinite(s[at])]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name, np.int64)), pa.array(label[at].astype(np.int64)), pa.array(vec[at].astype(np.int64)), pa.array(s[at])], ["query_id", "label", "vec_id", "score"])
+
+        part = passages.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    if by_scene:
+        best = out.groupBy("query_id", "label").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("back"))).alias("b"))
+        out = best.select("query_id", "label", (-F.col("b.back")).alias("vec_id"), F.col("b.score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("place", place.cast("long")).where(F.col("place") <= limit).select("query_id", "place", "label", "vec_id", "score")
+
+
+_ASKED = "(SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q"
+_BEST_SCENES = """b AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) k FROM s),
+           r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM b WHERE k = 1)
+           SELECT query_id, place, label, vec_id, score FROM r WHERE place <= """
+
+
+def _asked(passages: DataFrame) -> DataFrame:
+    return passages.where("vec_id % 100 = 0")
+
+
+@query(f"""WITH s AS (SELECT q.query_id, e.label, e.vec_id, {_COSINE} AS score FROM embeddings e, {_ASKED}),
+           r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+           SELECT query_id, place, label, vec_id, score FROM r WHERE place <= 10""")
+def vec_topk_passages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = table(spark, sf_dir, "embeddings")
+    return top_by_query(_asked(passages), passages, 10, by_scene=False)
+
+
+@query(f"WITH s AS (SELECT q.query_id, e.label, e.vec_id, {_COSINE} AS score FROM embeddings e, {_ASKED}), {_BEST_SCENES} 5")
+def vec_topk_scenes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = table(spark, sf_dir, "embeddings")
+    return top_by_query(_asked(passages), passages, 5, by_scene=True)
+
+
+@query(f"""WITH o AS (SELECT vec_id, label, embedding, CASE label % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' WHEN 2 THEN 'test' END AS split FROM embeddings),
+           s AS (SELECT q.query_id, e.label, e.vec_id, {_COSINE} AS score FROM o e, {_ASKED}
+                 WHERE (e.split IS NULL OR e.split IN ('train', 'validation')) AND e.label NOT IN (0, 5)), {_BEST_SCENES} 4""")
+def vec_eligible_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = table(spark, sf_dir, "embeddings")
+    split = F.when(F.col("label") % 4 == 0, "train").when(F.col("label") % 4 == 1, "validation").when(F.col("label") % 4 == 2, "test")
+    return top_by_query(_asked(passages), passages.where(eligible(split, "validation") & ~F.col("label").isin(0, 5)), 4, by_scene=True)
+
+
+@query(f"WITH s AS (SELECT q.query_id, e.label, e.vec_id, {_COSINE} AS score FROM embeddings e, {_ASKED} WHERE e.vec_id <> q.query_id), {_BEST_SCENES} 3")
+def vec_query_plan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = table(spark, sf_dir, "embeddings")
+    return top_by_query(_asked(passages), passages, 3, by_scene=True, others_only=True)

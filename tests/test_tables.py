@@ -246,3 +246,21 @@ def test_graph_queries_over_all_rows(spark, duck):
     assert starts == set(parts)
     orders, customers = duck.sql("SELECT count(*), count(DISTINCT o_custkey) FROM orders").fetchall()[0]
     assert catalogue.QUERIES["distance_band_all"](spark, DATA).count() == orders + customers
+
+
+@pytest.mark.parametrize("by_scene", [False, True])
+def test_all_queries_are_answered_in_blocks(spark, monkeypatch, by_scene):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    draw = np.random.default_rng(3)
+    vectors = [(i, int(draw.integers(5)), [float(x) for x in draw.integers(-2, 3, 3)]) for i in range(300)]
+    rows = spark.createDataFrame([*vectors, (900, 1, None), (901, 1, [1.0])], "vec_id int, label int, embedding array<float>").repartition(5)
+    got = {(r.query_id, r.place): (r.label, r.vec_id, r.score) for r in retrieval.top_by_query(rows.where("vec_id % 30 = 0"), rows, 4, by_scene, others_only=True).collect()}
+    want = {}
+    for q, _, a in vectors:
+        if q % 30 == 0 and any(a):
+            scored = sorted((-round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 9) + 0.0, i, label) for i, label, b in vectors if i != q and any(b))
+            firsts = [x for k, x in enumerate(scored) if not by_scene or x[2] not in {y[2] for y in scored[:k]}]
+            want.update({(q, k + 1): (label, i, -s + 0.0) for k, (s, i, label) in enumerate(firsts[:4])})
+    assert got == want
