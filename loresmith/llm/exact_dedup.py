@@ -23,8 +23,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null text counts as empty; empty texts are equal to each other.  Null ids
     count in ``group_size`` and are never chosen unless the group has no other
-    id.  Repeated rows all get the decision of their id.  Other columns are
-    ignored, so their names cannot clash.  An empty table gives no rows.
+    id.  The decision is one of (id, text): rows that repeat both get the same,
+    and an id that stands beside two texts is decided on for each of them.
+    Other columns are ignored, so their names cannot clash.  An empty table
+    gives no rows.
     """
     best = F.max if keep == "max" else F.min
     text = text_or_empty(text_col)
@@ -50,13 +52,32 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, in all their columns.  Of rows with the same id and text one stays; of null ids all."""
-    gone = exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("__gone"))
-    rest = docs.join(small(stage(gone), 16), F.col(id_col) == F.col("__gone"), "left_anti")
-    key = docs.select(F.col(id_col).alias("__id"), md5_128(text_or_empty(text_col)).alias("__h")).where("__id IS NOT NULL")
-    again = stage(key.groupBy("__id", "__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id").distinct())
+    """The rows of ``docs`` for which :func:`exact_groups` says ``kept``, in all their columns, each (id, text) once.
+
+    So exactly one row of each text stays, whatever ids repeat or are null; of
+    rows that are equal in id and text, which one stays is open.
+    """
+    gone = exact_groups(docs, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"))
+    return one_of_each(without(docs, gone, id_col, text_col, sha256), id_col, text_col, sha256)
+
+
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, content_hash) -> DataFrame:
+    """The rows of ``docs`` but for those whose id and content hash are among ``gone`` (two columns: id and hash)."""
+    gone = small(stage(gone.toDF("__id", "__hash").distinct()), 56)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (content_hash(text_or_empty(text_col)) == F.col("__hash")), "left_anti")
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, content_hash) -> DataFrame:
+    """``docs`` with one row of each (id, text); texts move only where they are repeated."""
+    key = docs.select(F.col(id_col).alias("__id"), content_hash(text_or_empty(text_col)).alias("__hash"))
+    again = stage(key.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
     if again.isEmpty():
-        return rest
-    again = small(again, 16)
-    same = F.col(id_col) == F.col("__id")
-    return rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+        return docs
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (content_hash(text_or_empty(text_col)) == F.col("__hash"))
+    again = small(again, 56)
+    repeated = docs.join(again, same, "left_semi").withColumn("__hash", content_hash(text_or_empty(text_col)))
+    return docs.join(again, same, "left_anti").unionByName(repeated.dropDuplicates([id_col, "__hash"]).drop("__hash"))

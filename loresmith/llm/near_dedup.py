@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import BANDS, ROWS, band_keys, multiset, signatures
-from .staging import small, stage
+from .exact_dedup import md5_128, one_of_each, without
+from .staging import small, stage, text_or_empty
 from .textkernel import U, frugal, mix, shingles, slices, string_bytes, words
 
 #: Members of a bucket that are compared with others at a time.
@@ -17,8 +18,24 @@ BLOCK = 512
 SIMILARITY = 0.8
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+#: Nodes that stand for a further text of a repeated id are numbered from here, above any id.
+FURTHER = 1 << 62
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``name`` (the id), ``hash`` of the text, ``id`` (the row's node) and the text; and whether ids repeat.
+
+    A node is the id itself; where an id stands beside several texts, only the
+    text of the least hash has it, the others get numbers of their own made from
+    id and hash.  So rows of one id and different texts are never one node.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("name"), md5_128(text_or_empty(text_col)).alias("hash"), text_or_empty(text_col).alias("text"))
+    per = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("hash").alias("least"), F.count(F.lit(1)).alias("n"))
+    twice = stage(per.where("n > 1").drop("n"))
+    if twice.isEmpty():
+        return rows.select("name", "hash", F.col("name").alias("id"), "text"), False
+    own = F.xxhash64("name", "hash").bitwiseAND(F.lit(FURTHER - 1)).bitwiseOR(F.lit(FURTHER))
+    return rows.join(small(twice, 40), "name", "left").select("name", "hash", F.when(F.col("least") != F.col("hash"), own).otherwise(F.col("name")).alias("id"), "text"), True
 
 
 def _shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int):
@@ -33,7 +50,7 @@ def _signed(size: int, bands: int, rows: int):
     @frugal
     def run(batches):
         for batch in batches:
-            data, bounds = string_bytes(batch.column(1))
+            data, bounds = string_bytes(batch.column(3))
             for i, n, row, value, times in _shingle_sets(data, bounds, size):
                 signature, any_word = signatures(row, value, times, n, bands * rows)
                 keys = band_keys(signature, bands, rows).astype(np.int64)[any_word]
@@ -44,7 +61,8 @@ def _signed(size: int, bands: int, rows: int):
                 np.add.at(sums[:, 1], row, mix(code + U(1)))
                 listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(any_word * bands)].astype(np.int32)), pa.array(keys.ravel()))
                 counts = np.bincount(row, times, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array([x.tobytes() for x in sums], pa.binary()), pa.array(counts), listed], ["id", "print", "n_shingles", "keys"])
+                given = [batch.column(k).slice(i, n) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*given, pa.array([x.tobytes() for x in sums], pa.binary()), pa.array(counts), listed], ["name", "hash", "id", "print", "n_shingles", "keys"])
 
     return run
 
@@ -145,7 +163,7 @@ def _relabel(nodes: DataFrame, column: str, found: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: the id, ``class_id`` (the smallest id of the class), ``class_size``, ``n_shingles`` and ``kept``.
+    """One row per input row: the id, ``class_id`` (the id of the row that stays), ``class_size``, ``n_shingles``, ``kept`` and ``text_md5``.
 
     Two texts are linked if the multisets of their runs of ``size`` words
     overlap by ``similarity`` or more (weighted Jaccard); classes are what links
@@ -162,15 +180,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words are runs of anything but ASCII white space; a text of fewer words is
     one shingle.  Texts without words are one class; null text counts as empty.
-    Rows with a null id stay apart (null class, size 1, kept).  Rows with the
-    same id are one class.  Other columns are ignored.  An empty table gives no
-    rows.
+    Rows with a null id stay apart (null class, size 1, kept).  Of each class
+    the row with the smallest id stays.  An id that stands beside different
+    texts is decided on for each of them: only its text of the least hash goes
+    by the id in a class, its others go by numbers from 2**62 on, which come
+    after all ids and show as ``class_id`` where such a row stays.  Rows equal in id
+    and text are one node and get one decision.  Other columns are ignored.  An
+    empty table gives no rows.
     """
-    source = _rows(docs, id_col, text_col)
-    signed = stage(source.mapInArrow(_signed(size, bands, rows), "id long, print binary, n_shingles long, keys array<long>"))
+    source, repeated = _numbered(docs, id_col, text_col)
+    signed = stage(source.mapInArrow(_signed(size, bands, rows), "name long, hash binary, id long, print binary, n_shingles long, keys array<long>"))
     known = signed.where("id IS NOT NULL")
     same = stage(known.groupBy("print").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    nodes = known.select("id", "print", "n_shingles").join(small(same, 48), "print", "left").select("id", F.coalesce("first", "id").alias("node"), "n_shingles")
+    nodes = known.select("name", "hash", "id", "print", "n_shingles").join(small(same, 48), "print", "left").select("name", "hash", "id", F.coalesce("first", "id").alias("node"), "n_shingles")
     nodes = stage(nodes)
 
     # buckets of distinct multisets; those that several bands give in the same members are taken once
@@ -190,7 +212,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = stage(pairs)
 
     needed = inside.select("id").distinct().withColumnRenamed("id", "__id")
-    wanted = source.join(small(stage(needed), 16), F.col("id") == F.col("__id"), "left_semi")
+    wanted = source.join(small(stage(needed), 16), F.col("id") == F.col("__id"), "left_semi").select("id", "text")
+    wanted = wanted.dropDuplicates(["id"]) if repeated else wanted
     sets = stage(wanted.mapInArrow(_sets(size), "id long, shingles binary"), codec="none")
     group = [F.col("centre").alias("g1"), F.col("g2").cast("long").alias("g2"), F.lit(0).cast("long").alias("g3")]
     tasks = pairs.select(*group, F.lit(1).alias("side"), "id", F.col("id").alias("class"))
@@ -218,12 +241,13 @@ def _with_sizes(out: DataFrame, id_col: str, signed: DataFrame) -> DataFrame:
     out = stage(out)
     per = small(stage(out.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("class", "__c")), 32)
     sized = out.join(per, F.col("class") == F.col("__c"), "left")
-    result = sized.select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"), "n_shingles", (F.col("id") == F.col("class")).alias("kept"))
-    nameless = signed.where("id IS NULL").select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_shingles", F.lit(True).alias("kept"))
+    result = sized.select(F.col("name").alias(id_col), F.col("class").alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"), "n_shingles", (F.col("id") == F.col("class")).alias("kept"), F.hex("hash").alias("text_md5"))
+    nameless = signed.where("id IS NULL").select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_shingles", F.lit(True).alias("kept"), F.hex("hash").alias("text_md5"))
     return result.unionByName(nameless)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, in all their columns: of each class the row with the smallest id, and all rows without an id."""
-    gone = near_classes(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(small(stage(gone), 16), F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` for which :func:`near_classes` says ``kept``, in all their columns, each (id, text) once; all rows without an id stay."""
+    gone = near_classes(docs, id_col, text_col).where("NOT kept").select(id_col, F.unhex("text_md5"))
+    named = without(docs, gone, id_col, text_col, md5_128)
+    return one_of_each(named.where(F.col(id_col).isNotNull()), id_col, text_col, md5_128).unionByName(named.where(F.col(id_col).isNull()))

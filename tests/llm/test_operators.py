@@ -78,11 +78,26 @@ def test_exact_copies_go_and_other_columns_stay(docs, none):
     left = exact_dedup.drop_exact_copies(docs)
     assert left.columns == docs.columns
     texts = [r["text"] or "" for r in left.collect()]
-    # one row for each text; rows without an id cannot be told apart and all stay
-    assert Counter(texts) == Counter({t or "" for i, t, *_ in documents() if i is not None}) + Counter(t or "" for i, t, *_ in documents() if i is None)
+    assert Counter(texts) == Counter({t or "" for _, t, *_ in documents()})
     assert exact_dedup.drop_exact_copies(none).count() == 0
 
 
+def test_no_text_is_lost_where_ids_repeat(spark):
+    a, b, c = ("alpha " * 9, "beta gamma " * 9, "delta " * 12)
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, c), (None, c), (None, "alone"), (None, "alone"), (8, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = Counter((r.doc_id, r.text or "") for r in exact_dedup.drop_exact_copies(df).collect())
+    assert exact == Counter([(3, a), (5, b), (7, c), (None, "alone"), (8, "")])
+    near = Counter((r.doc_id, r.text or "") for r in near_dedup.drop_near_copies(df).collect())
+    assert near == Counter([(3, a), (5, b), (7, c), (None, c), (None, "alone"), (None, "alone"), (8, "")])
+    classes = near_dedup.near_classes(df).collect()
+    # of the two texts of id 5 one may go by the id, the other by a number of its own
+    assert {(r.doc_id, r.class_id if (r.class_id or 0) < near_dedup.FURTHER else 5) for r in classes} == {(3, 3), (5, 3), (5, 5), (7, 7), (None, None), (8, 8)}
+    other = spark.createDataFrame([(5, a), (5, b), (9, b)], "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in near_dedup.drop_near_copies(other).collect()}
+    assert {t for _, t in kept} == {a, b} and len(kept) == 2
+
+
 # 2 language model
 
 
