@@ -20,8 +20,10 @@ from .textkernel import frugal
 VERSION = b"WARC/1.1"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_RECORDS_PER_FILE = 5000
+#: Bytes of records after which a file is closed, of a record's headers at most, and of what a gzip member may inflate to.
+FILE_BYTES, HEADER_BYTES, INFLATED_BYTES = 32 << 20, 1 << 20, 1 << 30
 _STEP = 4096
+_SIZE = re.compile(r"[0-9]{1,18}", re.ASCII)
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -69,43 +71,60 @@ class Damage(Exception):
     pass
 
 
+def whole_number(told: str | None) -> int | None:
+    """A size as headers give it: up to 18 ASCII digits; anything else is none."""
+    return int(told) if told and _SIZE.fullmatch(told) else None
+
+
+def agrees(told: str | None, data: bytes) -> bool:
+    """Whether a digest header agrees with the data: SHA-1 in base32 or hex, in any case; other digests cannot be checked."""
+    name, colon, value = (told or "").partition(":")
+    if not colon or name.strip().lower() != "sha1":
+        return True
+    value = value.strip().rstrip("=")
+    return value.lower() == hashlib.sha1(data).hexdigest() if len(value) == 40 else value.upper() == sha1_base32(data)  # noqa: S324
+
+
 def _parse(data: bytes, at: int) -> tuple[Record, int]:
     start = _START.match(data, at)
     if not start:
         raise Damage("no version line")
-    stop = data.find(b"\r\n\r\n", start.end() - 2)
+    stop = data.find(b"\r\n\r\n", start.end() - 2, at + HEADER_BYTES)
     if stop < 0:
         raise Damage("headers do not end")
     headers: dict[str, str] = {}
-    for line in data[start.end() : stop].split(b"\r\n"):
+    for line in data[start.end() : stop].split(b"\r\n") if stop > start.end() else ():
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damage("a header line has no colon")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    size = headers.get("content-length", "")
-    if not size.isdigit():
+    size = whole_number(headers.get("content-length"))
+    if size is None:
         raise Damage("no content length")
-    begin, end = stop + 4, stop + 4 + int(size)
+    begin, end = stop + 4, stop + 4 + size
     if end > len(data):
         raise Damage("the block ends beyond the data")
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damage("the record is not closed")
     block = data[begin:end]
-    if (told := headers.get("warc-block-digest")) and told.startswith("sha1:") and told[5:] != sha1_base32(block):
+    if not agrees(headers.get("warc-block-digest"), block):
         raise Damage("the block's digest differs")
     payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
-    if headers.get("warc-type") == "response" and (told := headers.get("warc-payload-digest")) and told.startswith("sha1:") and told[5:] != sha1_base32(payload):
+    if headers.get("warc-type") == "response" and not agrees(headers.get("warc-payload-digest"), payload):
         raise Damage("the payload's digest differs")
     return Record(at, headers, block, payload), end + 4
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """A gzip member's bytes, and where it ends; damage carries what came before it."""
-    inflate, parts, k = zlib.decompressobj(31), [], at
+    inflate, parts, k, held = zlib.decompressobj(31), [], at, 0
     try:
         while k < len(data) and not inflate.eof:
             parts.append(inflate.decompress(memoryview(data)[k : k + _STEP]))
             k = min(k + _STEP, len(data))
+            held += len(parts[-1])
+            if held > INFLATED_BYTES:
+                raise Damage(f"the member inflates to more than {INFLATED_BYTES} bytes", b"".join(parts))
     except zlib.error as e:
         raise Damage(f"member: {e}", b"".join(parts)) from e
     if not inflate.eof:
@@ -180,7 +199,7 @@ def _salvage(data: bytes, packed: bool) -> Iterator[Record | Gap]:
         yield gap
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 0, records_per_file: int = _RECORDS_PER_FILE) -> str:
+def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> str:
     """Write a record for each page; returns the folder of plain WARC files (without one given, a shared one that goes with the application).
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, the one with
@@ -189,7 +208,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     with an id has its payload.  Rows that repeat the smallest id are responses
     all.  Only digests are grouped and shuffled, combined before the shuffle;
     pages themselves move only where the repeated payloads are too many to send
-    to each task.
+    to each task.  A file is closed once its records come to ``file_bytes``, so
+    none is larger than that and one more record.  Other columns are ignored.
+    An empty table gives a folder without records.
     """
     target = folder or shared_folder(pages.sparkSession)
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
@@ -201,13 +222,20 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
 
     @frugal
     def build(batches):
+        held, size = [], 0
         for batch in batches:
-            made = [record(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_pydict({"value": pa.array(made, pa.binary())})
-
-    # the text writer puts bytes down as they are; its line separator closes each record
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(record(*row))
+                size += len(held[-1]) + 4
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([b"\r\n\r\n".join(held)], pa.binary())})
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([b"\r\n\r\n".join(held)], pa.binary())})
+
+    # the text writer puts bytes down as they are; a row is a file, and the line separator closes its last record
     values = rows.mapInArrow(build, "value binary").select(F.col("value").cast("string"))
-    values.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(target)
+    values.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).option("compression", "none").text(target)
     return target if folder else until_exit(pages.sparkSession, target)
 
 
@@ -222,7 +250,7 @@ def _rows(batches, gaps: bool):
                 elif not gaps:
                     h = found.headers
                     kind = h.get("warc-type")
-                    size = len(found.payload) if kind == "response" else int(h.get("x-payload-bytes") or 0)
+                    size = len(found.payload) if kind == "response" else whole_number(h.get("x-payload-bytes")) or 0
                     out.append((name, found.offset, kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), (h.get("warc-payload-digest") or "").removeprefix("sha1:"), size, found.payload))
             schema = _GAPS if gaps else _RECORDS
             for k in range(0, len(out), 512):
@@ -238,12 +266,17 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """The valid records of all archives in a folder, with their payloads."""
+    """The valid records of all archives in a folder, with their payloads.
+
+    A header that is absent is null (a digest is empty); of a revisit the size
+    is what it tells of its payload, 0 where that is no number.  Records that
+    repeat are all given; an empty file has none.  No damage raises.
+    """
     return _files(spark, folder).mapInArrow(lambda b: _rows(b, False), "file string, offset long, record_type string, record_id string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary")
 
 
 def quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    """The byte gaps that :func:`read_warc` passed over: file, start, end and reason."""
+    """The byte gaps that :func:`read_warc` passed over: file, start, end and reason; none for an undamaged or empty file."""
     return _files(spark, folder).mapInArrow(lambda b: _rows(b, True), "file string, start long, end long, reason string")
 
 
