@@ -29,6 +29,8 @@ from .word_ids import word_ids
 _HEAD = struct.Struct("<4sIIQ")
 _TAIL = struct.Struct("<Q4s")
 BLOCK_IDS = 1 << 16
+#: Bytes of blocks after which a shard is closed.
+SHARD_BYTES = 32 << 20
 
 
 def width(vocabulary: int) -> int:
@@ -107,14 +109,18 @@ def read_block(shard: bytes, offset: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return known, names, lengths, unpack(shard[at : at + -(-count // 64) * bits * 8], count, bits)
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> str:
+def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, shard_bytes: int = SHARD_BYTES) -> str:
     """Encode whole texts and write them in ascending id order; returns the folder (without one given, a shared one that goes with the application).
 
     Documents are dealt by ranges of their id, sorted, encoded and packed task by
     task; Spark's own writer commits the shards, so a task that is run again
-    leaves no second copy and any store that Spark writes can hold them.  Null
-    text counts as empty and gives the end id alone; null ids come first and
-    stay null; rows with the same id stand side by side, ordered by text.
+    leaves no second copy and any store that Spark writes can hold them.  A
+    shard is closed once its blocks come to ``shard_bytes``, whatever the number
+    of tasks, so none is larger than that and one more block.  Null text counts
+    as empty and gives the end id alone; null ids come first and stay null; rows
+    with the same id stand side by side, ordered by text, and are dealt by the
+    beginning of the text, so that many of them (null ids, say) are no one task.
+    Other columns are ignored.  An empty table gives a folder without documents.
     """
     spark = docs.sparkSession
     target = folder or shared_folder(spark)
@@ -122,8 +128,20 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     @frugal
     def encode(batches):
         coder = word_ids(tokenizer)
-        bits, at, offsets = width(coder.size), 0, []
+        bits = width(coder.size)
+        blocks, size = [], 0
         known, names, parts, held = [], [], [], 0
+
+        def shard() -> pa.RecordBatch:
+            at = np.r_[0, np.cumsum([len(x) + 1 for x in blocks])][:-1]
+            return pa.RecordBatch.from_pydict({"value": pa.array([b"\n".join([*blocks, footer(at.tolist())])], pa.binary())})
+
+        def close() -> int:
+            blocks.append(block(known, names, parts, bits))
+            for x in (known, names, parts):
+                x.clear()
+            return len(blocks[-1]) + 1
+
         for batch in batches:
             every = iter(batch.column(0).to_pylist())
             for ids, bounds in coder.encode(batch.column(1), end_id):
@@ -134,27 +152,31 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                     parts.append(ids[a:b])
                     held += b - a
                     if held >= block_ids:
-                        out = block(known, names, parts, bits)
-                        offsets.append(at)
-                        at += len(out) + 1
-                        yield pa.RecordBatch.from_pydict({"value": pa.array([out], pa.binary())})
-                        known, names, parts, held = [], [], [], 0
+                        size, held = size + close(), 0
+                        if size >= shard_bytes:
+                            yield shard()
+                            blocks, size = [], 0
         if parts:
-            out = block(known, names, parts, bits)
-            offsets.append(at)
-            yield pa.RecordBatch.from_pydict({"value": pa.array([out], pa.binary())})
-        if offsets:
-            yield pa.RecordBatch.from_pydict({"value": pa.array([footer(offsets)], pa.binary())})
+            close()
+        if blocks:
+            yield shard()
 
+    order = F.col("id").asc_nulls_first()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    # the text writer puts the bytes of a string down as they are, whatever they are
-    rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(target)
+    rows = rows.repartitionByRange(order, F.expr("left(text, 32)")).sortWithinPartitions(order, "text")
+    # the text writer puts the bytes of a string down as they are, whatever they are; a row is a shard
+    out = rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string"))
+    out.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "none").text(target)
     return target if folder else until_exit(spark, target)
 
 
 def read_token_shards(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: the id, its shard, ``start`` over all shards, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit)."""
+    """One row per document: the id, its shard, ``start`` over all shards, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit).
+
+    Ids that were null or repeat are given as they were written; shards follow
+    one another by task and by number within it; a folder without documents
+    gives no rows.
+    """
 
     @frugal
     def decode(batches):
@@ -174,7 +196,8 @@ def read_token_shards(spark: SparkSession, folder: str, id_col: str = "doc_id")
                     before += int(ends[-1])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    name = F.regexp_extract("path", "(part-[0-9]+)", 1)
+    told = lambda k: F.regexp_extract("path", r"part-(\d+)-[^/]*?(?:-c(\d+))?\.[^/]*$", k)
+    name = F.concat_ws("-", F.lpad(told(1), 9, "0"), F.lpad(told(2), 9, "0"))
     totals_from = files.select(name.alias("shard"), "content").mapInArrow(_totals, "shard string, total long")
     before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals_from.select("shard", F.coalesce(before, F.lit(0)).alias("before"))  # one row per shard
