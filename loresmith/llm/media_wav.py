@@ -110,21 +110,29 @@ def to_wav_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def wav_fingerprints(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """``media`` with ``payload`` (the samples read back), and the time-coded arrays ``codes`` and ``times``.  A null media value gives nulls."""
+    """``media`` with ``payload`` (the samples read back), and the time-coded arrays ``codes`` and ``times``.
+
+    A null media value gives nulls in the three.  Columns of the table that
+    already have one of these names (in any case) are replaced.  Each row is on
+    its own: null and repeated ids are carried, an empty table gives no rows.
+    """
+    made = ("payload", "codes", "times")
+    carried = [c for c in media.columns if c.lower() not in made]
 
     @frugal
     def features(batches):
         for batch in batches:
             payloads, codes, times = [], [], []
-            for value in batch.column(batch.schema.get_field_index(media_col)):
+            for value in batch.column(len(carried)):
                 stored = value.as_py()
                 samples = None if stored is None else from_wav(stored)
                 payloads.append(samples)
                 code, time = (None, None) if stored is None else fingerprint(np.frombuffer(samples, np.uint8))
                 codes.append(code)
                 times.append(time)
-            columns = [*batch.columns, pa.array(payloads, pa.binary()), pa.array(codes, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "payload", "codes", "times"])
+            columns = [*batch.columns[: len(carried)], pa.array(payloads, pa.binary()), pa.array(codes, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [*carried, *made])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in media.dtypes)
-    return media.mapInArrow(features, f"{kinds}, payload binary, codes array<int>, times array<int>")
+    kinds = "".join(f"`{n}` {t}, " for n, t in media.dtypes if n in carried)
+    rows = media.select(*(F.col(f"`{c}`") for c in carried), F.col(media_col).alias("__media"))
+    return rows.mapInArrow(features, f"{kinds}payload binary, codes array<int>, times array<int>")
