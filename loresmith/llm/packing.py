@@ -1,21 +1,25 @@
 """Packing of pieces into sequences of a fixed capacity by a configuration linear program.
 
 The program has a row for each piece length and a column for each pattern (a
-multiset of lengths that fits).  Multiplicative weights price the lengths, a
-knapsack dynamic program finds the patterns of best price, their average is the
-fractional packing, and it is rounded down; what rounding leaves is placed by
-best fit.  Where that stays above the bound of volume, the program is solved by
-column generation (simplex pivots over patterns priced by the knapsack), and all
-its patterns are rounded, full or not; the plan of fewest sequences is used.
-The driver sees only the histogram of lengths, which the capacity bounds; ranks
-inside a length and places are worked out on the executors.
+multiset of lengths that fits); it asks for the fewest patterns that cover all
+counts.  Multiplicative weights price the lengths, a knapsack dynamic program
+finds the patterns of best price, and their sum is the fractional packing; any
+prices also give a lower bound, the worth of all pieces over that of the best
+pattern.  Where the rounded packing stays above the bound, the weights start
+column generation (pivots over patterns priced by the same knapsack), which
+goes on to the optimum.  All patterns are rounded, full or not; what rounding
+leaves is placed by best fit.  The driver sees only the histogram of lengths,
+which the capacity bounds; ranks inside a length and places are worked out on
+the executors.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from collections import defaultdict
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,14 +33,25 @@ from .word_ids import word_ids
 
 #: Rounds of multiplicative weights, how strongly coverage moves a price, and by what part a pattern may miss the best price.
 ROUNDS, STEP, SLACK = 8, 0.5, 0.002
-#: Most pivots of column generation, and the part above the bound of volume from which it is tried.
-PIVOTS, GAP = 2000, 0.001
-#: Parts into which the rows of one length are dealt for ranking.
-SALTS = 64
+#: Most steps of column generation's arithmetic: a pivot takes about 4 m**2 of them for m lengths, a table 2 m * capacity.
+WORK = 6_000_000_000
+#: Rows of one length that are ranked by one task.
+PART_ROWS = 250_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 
+class Plan(NamedTuple):
+    """Patterns with how often each is used, and a number of sequences that no packing goes below."""
+
+    patterns: list[tuple[Pattern, int]]
+    bound: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.patterns)
+
+
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """The best price that each room can be filled for, and where in ``lengths`` (descending) those that fit it begin."""
     best = np.zeros(capacity + 1)
@@ -47,22 +62,26 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np
     return best, fits
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, seed: int = 7) -> dict[Pattern, float]:
-    """Patterns and amounts that cover the counts without going beyond them; lengths descend.
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, seed: int = 7) -> tuple[dict[Pattern, float], float, np.ndarray]:
+    """Patterns and amounts that cover the counts without going beyond them, the best lower bound met, and its prices; lengths descend.
 
     In each round every length that lags behind the round's goal starts a
     pattern, which is walked down the knapsack table.  The next length is drawn,
-    in proportion to what each lacks, from those that close the pattern exactly
-    at once or with one more; else from those whose price keeps the pattern
-    within ``SLACK`` of the best; else it is the best-priced that lacks anything.
+    in proportion to what each lacks, from those whose price keeps the pattern
+    within ``SLACK`` of the best (those among them first that close it exactly,
+    at once or with one more); else it is the best-priced that lacks anything.
     """
     draw = np.random.default_rng(seed)
     prices = lengths / capacity
     covered = np.zeros(len(lengths))
     amounts: dict[Pattern, float] = defaultdict(float)
     sizes = lengths.tolist()
+    bound, at_bound = 0.0, prices
     for t in range(1, rounds + 1):
         best, fits = knapsack(lengths, prices, capacity)
+        worth = float(counts @ prices / best[capacity])
+        if worth > bound:
+            bound, at_bound = worth, prices / best[capacity]
         goal = counts * (t / rounds)
         lack = np.maximum(goal - covered, 0)
         closes = np.zeros(capacity + 1, bool)
@@ -77,9 +96,9 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
                     k = fits[room]
                     value = prices[k:] + best[room - lengths[k:]]
                     wanted = np.where(lack[k:] > 1e-6, lack[k:], 0)
-                    # what fills the room at once, or leaves a room that some lacking length fills, goes first
-                    closing = wanted * closes[room - lengths[k:]]
-                    odds = np.cumsum(closing if closing.any() else np.where(value >= best[room] * (1 - SLACK), wanted, 0))
+                    good = np.where(value >= best[room] * (1 - SLACK), wanted, 0)
+                    closing = good * closes[room - lengths[k:]]
+                    odds = np.cumsum(closing if closing.any() else good)
                     if odds[-1] > 0:
                         took = min(k + int(np.searchsorted(odds, draw.random() * odds[-1], "right")), len(sizes) - 1)
                     elif wanted.any():
@@ -98,7 +117,7 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
                 amounts[tuple(sorted(((sizes[x], n) for x, n in items.items()), reverse=True))] += more
         prices = prices * np.exp(STEP * lack / np.maximum(goal, 1e-9))  # what patterns miss grows dearer
         prices /= prices.max()
-    return amounts
+    return amounts, bound, at_bound
 
 
 def reachable(lengths: np.ndarray, capacity: int) -> int:
@@ -112,55 +131,66 @@ def reachable(lengths: np.ndarray, capacity: int) -> int:
     return sums.bit_length() - 1
 
 
-def best_pattern(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How often the pattern of best price takes each length; lengths without a price above 0 are not taken."""
-    best, taken = np.zeros(capacity + 1), []
-    for i in np.flatnonzero(prices > 0).tolist():
-        times = 1
-        while times * lengths[i] <= capacity:
-            step = times * int(lengths[i])
-            with_it = best[:-step] + times * prices[i]
-            better = with_it > best[step:] + 1e-12
-            best[step:] = np.where(better, with_it, best[step:])
-            taken.append((i, times, step, better))
-            times *= 2
-    out, room = np.zeros(len(lengths)), capacity
-    for i, times, step, better in reversed(taken):
-        if room >= step and better[room - step]:
-            out[i] += times
-            room -= step
-    return out
-
-
-def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int, pivots: int = PIVOTS) -> dict[Pattern, float]:
-    """Patterns and amounts of the linear program's optimum (or of the cover after the last pivot); lengths descend.
-
-    A pattern for each length begins the basis.  Each pivot brings in the
-    pattern of best price under the basis's dual prices, until none is worth
-    more than the one sequence it takes.
+def best_patterns(lengths: np.ndarray, prices: np.ndarray, capacity: int, least: float) -> tuple[float, list[np.ndarray]]:
+    """The best price of a pattern, and for each length the best-priced pattern that holds it, if that is worth more than ``least``; best first."""
+    best, fits = knapsack(lengths, prices, capacity)
+    found = []
+    for i in np.argsort(-(prices + best[capacity - lengths]), kind="stable").tolist():
+        if prices[i] + best[capacity - lengths[i]] <= least:
+            break
+        pattern, room = np.zeros(len(lengths)), capacity - int(lengths[i])
+        pattern[i] = 1
+        while room >= lengths[-1] and best[room] > 0:
+            k = fits[room]
+            took = k + int((prices[k:] + best[room - lengths[k:]]).argmax())
+            pattern[took] += 1
+            room -= int(lengths[took])
+        found.append(pattern)
+    return float(best[capacity]), found
+
+
+def column_generation(lengths: np.ndarray, counts: np.ndarray, capacity: int, prices: np.ndarray, bound: float) -> tuple[dict[Pattern, float], float]:
+    """Patterns and amounts of the linear program's optimum (or of the cover when ``WORK`` is spent), and the best lower bound; lengths descend.
+
+    A pattern for each length begins the basis.  One knapsack table gives many
+    patterns, first under the prices of the multiplicative weights, then under
+    the basis's duals; each that still pays is pivoted in.  It ends where no
+    pattern pays, or the cover cannot lose a whole sequence any more.
     """
     basis = np.diag((capacity // lengths).astype(float))  # a column for each pattern
     inverse = np.diag(1 / basis.diagonal())
     amount = counts / basis.diagonal()
-    for _ in range(pivots):
-        prices = inverse.sum(axis=0)
-        entering = best_pattern(lengths, prices, capacity)
-        if prices @ entering <= 1 + 1e-9:
+    m, left = len(lengths), WORK
+    while left > 0 and math.ceil(amount.sum() - 1e-6) > math.ceil(bound - 1e-6):
+        worth, patterns = best_patterns(lengths, prices, capacity, 1 + 1e-9)
+        left -= 2 * m * capacity
+        if worth > 0:
+            bound = max(bound, float(counts @ prices) / worth)
+        duals, pivots = inverse.sum(axis=0), 0
+        for entering in patterns:
+            if duals @ entering <= 1 + 1e-9:
+                continue
+            change = inverse @ entering
+            ratio = np.divide(amount, change, out=np.full(m, np.inf), where=change > 1e-9)
+            out = int(ratio.argmin())
+            least = max(ratio[out], 0.0)
+            amount = np.maximum(amount - least * change, 0)
+            amount[out] = least
+            row = inverse[out] / change[out]
+            inverse -= np.outer(change, row)
+            inverse[out] = row
+            basis[:, out] = entering
+            duals, pivots, left = inverse.sum(axis=0), pivots + 1, left - 4 * m * m
+            if left <= 0:
+                break
+        own = np.maximum(duals, 0)
+        if not pivots and np.array_equal(own, prices):
             break
-        change = inverse @ entering
-        ratio = np.divide(amount, change, out=np.full(len(amount), np.inf), where=change > 1e-9)
-        out = int(ratio.argmin())
-        least = max(ratio[out], 0.0)
-        amount = np.maximum(amount - least * change, 0)
-        amount[out] = least
-        row = inverse[out] / change[out]
-        inverse -= np.outer(change, row)
-        inverse[out] = row
-        basis[:, out] = entering
+        prices = own
     found: dict[Pattern, float] = defaultdict(float)
     for k in np.flatnonzero(amount > 0).tolist():
         found[tuple((int(lengths[i]), int(basis[i, k])) for i in np.flatnonzero(basis[:, k]))] += float(amount[k])
-    return found
+    return found, bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -199,47 +229,54 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     return [(tuple(sorted(items.items(), reverse=True)), times) for group in bins.values() for items, times in group]
 
 
-def rounded(amounts: list[tuple[Pattern, float]], histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Amounts rounded down in their order, what rounding leaves of one being carried to the next; the rest by best fit."""
+def rounded(amounts: list[tuple[Pattern, float]], histogram: dict[int, int], capacity: int, carry: bool) -> list[tuple[Pattern, int]]:
+    """Amounts rounded down, then either what rounding leaves is carried from one to the next, or the largest remainders that still fit are rounded up; the rest by best fit."""
     left = dict(histogram)
-    plan: list[tuple[Pattern, int]] = []
-    carried = 0.0
-    for pattern, amount in amounts:
-        carried += amount
-        times = min(int(carried + 1e-6), *(left[x] // n for x, n in pattern))
-        carried = min(carried - times, 1.0)
+    plan: dict[Pattern, int] = defaultdict(int)
+
+    def use(pattern: Pattern, times: int) -> int:
+        times = min(times, *(left[x] // n for x, n in pattern))
         if times > 0:
-            plan.append((pattern, times))
+            plan[pattern] += times
             for x, n in pattern:
                 left[x] -= n * times
-    return plan + best_fit({x: n for x, n in left.items() if n}, capacity)
+        return times
 
+    carried = 0.0
+    for pattern, amount in amounts:
+        carried = min(carried + amount - use(pattern, int((carried if carry else 0) + amount + 1e-6)), 1.0)
+    if not carry:
+        for pattern, _ in sorted(amounts, key=lambda x: (-(x[1] % 1), x[0])):
+            use(pattern, 1)
+    return [*plan.items(), *best_fit({x: n for x, n in left.items() if n}, capacity)]
 
-def packing_plan(histogram: Iterable[tuple[int, int]], capacity: int, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
-    """Patterns and how often each is used; together they hold exactly the histogram.
 
-    Of these the plan of fewest sequences: all patterns of the fractional
-    packing rounded; only its fullest patterns rounded (the others may be poor,
-    where best fit is better); and where neither is within ``GAP`` of the bound,
-    all patterns of the linear program's optimum rounded.
+def packing_plan(histogram: Iterable[tuple[int, int]], capacity: int, rounds: int = ROUNDS) -> Plan:
+    """Patterns that together hold exactly the histogram, as few as were found, and the lower bound.
+
+    Tried in turn until one is at the bound: the packing of the multiplicative
+    weights rounded, plain best fit, and the linear program's optimum rounded.
     """
     left = {int(k): int(n) for k, n in histogram if n}
     if not left:
-        return []
+        return Plan([], 0)
     if min(left) < 1 or max(left) > capacity:
         raise ValueError(f"lengths must be from 1 to {capacity}")
     lengths = np.array(sorted(left, reverse=True))
     counts = np.array([left[int(x)] for x in lengths], float)
     capacity = reachable(lengths, capacity)  # no sequence can hold more
-    used_room = lambda p: sum(x * n for x, n in p)
     size = lambda plan: sum(n for _, n in plan)
-    amounts = sorted(fractional(lengths, counts, capacity, rounds).items(), key=lambda x: (-used_room(x[0]), x[0]))
-    plan = min(rounded(amounts, left, capacity), rounded([x for x in amounts if used_room(x[0]) == capacity], left, capacity), key=size)
-    bound = max(-(-sum(x * n for x, n in left.items()) // capacity), sum(n for x, n in left.items() if 2 * x > capacity))
-    if size(plan) > bound * (1 + GAP) + 1:
-        optimum = sorted(column_generation(lengths, counts, capacity).items(), key=lambda x: (-x[1], x[0]))
-        plan = min(plan, rounded(optimum, left, capacity), key=size)
-    return plan
+    by_use = lambda found: sorted(found.items(), key=lambda x: (-sum(a * n for a, n in x[0]), x[0]))
+    amounts, bound, prices = fractional(lengths, counts, capacity, rounds)
+    bound = max(bound, float(counts @ lengths) / capacity, float(counts[2 * lengths > capacity].sum()))
+    whole = lambda: math.ceil(bound - 1e-6)
+    plan = min((rounded(by_use(amounts), left, capacity, carry) for carry in (True, False)), key=size)
+    if size(plan) > whole():
+        plan = min(plan, best_fit(left, capacity), key=size)
+    if size(plan) > whole():
+        optimum, bound = column_generation(lengths, counts, capacity, prices, bound)
+        plan = min(plan, *(rounded(by_use(optimum), left, capacity, carry) for carry in (True, False)), key=size)
+    return Plan(plan, whole())
 
 
 def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = 4096, key_cols: tuple[str, ...] = ("doc_id", "piece"), rounds: int = ROUNDS) -> DataFrame:
@@ -247,25 +284,26 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = 4
 
     All other columns are carried along.  Rows whose length is null or below 1
     take no room and get null for both; a length above the capacity is an
-    error.  Rows with equal keys each get a place of their own.  An empty table
-    gives an empty table with the two columns.
+    error.  Rows with equal keys each get a place of their own.  Columns that
+    have the two names already are replaced.  An empty table gives an empty
+    table with the two columns.
     """
-    pieces = stage(pieces)
-    # where the rows of one length stand does not matter, so they are dealt by a salt and numbered in each part
-    salt = F.pmod(F.xxhash64(*key_cols), F.lit(SALTS))
+    pieces = stage(pieces.drop("sequence_id", "offset"))
     real = F.col(length_col) >= 1
-    parts = pieces.where(real).groupBy(F.col(length_col).cast("long").alias("__len"), salt.alias("__salt")).agg(F.count(F.lit(1)).alias("__n"))
-    found = parts.collect()  # at most capacity * SALTS rows
-    histogram: dict[int, int] = defaultdict(int)
-    for r in found:
-        histogram[r["__len"]] += r["__n"]
+    size = F.col(length_col).cast("long")
+    histogram = {r["len"]: r["n"] for r in pieces.where(real).groupBy(size.alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the capacity
+    # where the rows of one length stand does not matter, so those of a frequent one are dealt over parts and numbered in each
+    many = {k: -(-n // PART_ROWS) for k, n in histogram.items() if n > PART_ROWS}
+    salt = F.pmod(F.xxhash64(*key_cols), F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[size], F.lit(1))) if many else F.lit(0).cast("long")
+    parts = pieces.where(real & size.isin(list(many))).groupBy(size.alias("len"), salt.alias("salt")).agg(F.count(F.lit(1)).alias("n")).collect() if many else []
     first_rank, seen = {}, defaultdict(int)
-    for r in sorted(found, key=lambda r: (r["__len"], r["__salt"])):
-        first_rank[r["__len"] * SALTS + r["__salt"]] = seen[r["__len"]]
-        seen[r["__len"]] += r["__n"]
+    for r in sorted(parts, key=lambda r: (r["len"], r["salt"])):
+        first_rank[r["len"] << 32 | r["salt"]] = seen[r["len"]]
+        seen[r["len"]] += r["n"]
+    first_rank.update((k << 32, 0) for k in histogram.keys() - many.keys())
     plan = packing_plan(histogram.items(), capacity, rounds)
     slots, rank, sequence = [], defaultdict(int), 0  # length, first rank, times, first sequence, offset
-    for pattern, times in plan:
+    for pattern, times in plan.patterns:
         offset = 0
         for length, n in pattern:
             slots.append((length, rank[length], n, sequence, offset))
@@ -283,7 +321,7 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = 4
     def place(length: pd.Series, part: pd.Series, number: pd.Series) -> pd.DataFrame:
         table, keys, first = shared.value
         size = length.to_numpy(np.int64)
-        rank = first[np.searchsorted(keys, size * SALTS + part.to_numpy(np.int64))] + number.to_numpy(np.int64) - 1
+        rank = first[np.searchsorted(keys, size << 32 | part.to_numpy(np.int64))] + number.to_numpy(np.int64) - 1
         # one ordered number for (length, rank); lengths are at most the capacity
         found = np.searchsorted(table[:, 0] << shift | table[:, 1], size << shift | rank, "right") - 1
         row = table[found]
@@ -291,14 +329,19 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = 4
         return pd.DataFrame({"sequence_id": row[:, 3] + instance, "offset": row[:, 4] + copy * size})
 
     window = Window.partitionBy("__len", "__salt").orderBy(*key_cols)
-    numbered = pieces.where(real).withColumns({"__len": F.col(length_col).cast("long"), "__salt": salt}).withColumn("__k", F.row_number().over(window))
+    numbered = pieces.where(real).withColumns({"__len": size, "__salt": salt}).withColumn("__k", F.row_number().over(window))
     placed = numbered.withColumn("__place", place("__len", "__salt", "__k")).select(*pieces.columns, "__place.sequence_id", "__place.offset")
     nowhere = pieces.where(~real | F.col(length_col).isNull()).select(*pieces.columns, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     return placed.unionByName(nowhere)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole texts as ids with the end id, cut into pieces of ``capacity`` where longer: id, ``piece``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit)."""
+    """Whole texts as ids with the end id, cut into pieces of ``capacity`` where longer: id, ``piece``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit).
+
+    Null text counts as empty and gives one piece of the end id; null and
+    repeated ids are carried, each row on its own; other columns are ignored;
+    an empty table gives no rows.
+    """
 
     @frugal
     def cut(batches):
