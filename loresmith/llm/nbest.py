@@ -24,8 +24,8 @@ from .textkernel import U, frugal, mix, ragged, slices, span_hashes, string_byte
 
 BLANK = "▁"
 _MARK = BLANK.encode()
-#: Runs remembered by a worker, and lists of segmentations; beyond these the memory starts anew, which changes nothing.
-REMEMBERED, LISTS = 1_000_000, 20_000
+#: Runs remembered by a worker, and characters of runs whose lists of segmentations are; beyond these the memory starts anew, which changes nothing.
+REMEMBERED, LIST_CHARACTERS = 1_000_000, 400_000
 #: Bytes of text that are handled together, and of a run that is remembered.
 GROUP_BYTES, LONGEST = 4 << 20, 64
 _FACTOR = U(0x9FB21C651E98DF25)
@@ -62,6 +62,7 @@ class Pieces:
             raise ValueError("two pieces have one slot in both tables")
         self.forget()
         self.lists: dict[tuple[str, int], list[tuple[float, tuple[str, ...]]]] = {}
+        self.listed = 0
 
     def place(self, key: np.ndarray) -> np.ndarray:
         """Where in ``keys`` each key stands, if it is there at all."""
@@ -150,24 +151,37 @@ class Pieces:
         path[(path == -1).any(axis=1)] = -2
         return first[sizes, column], second[sizes, column], path[path >= 0], (path >= 0).sum(axis=1)
 
-    def forward(self, run: str) -> list[float]:
-        """The best score of each prefix."""
-        best = [0.0] + [-np.inf] * len(run)
-        for i in range(len(run)):
-            for j in range(i + 1, min(len(run), i + self.longest) + 1):
-                if (s := self.score(run[i:j])) is not None and best[i] + s > best[j]:
-                    best[j] = best[i] + s
-        return best
+    def arcs(self, run: str) -> list[list[tuple[int, float]]]:
+        """For each place in a run where the pieces that end there begin, and their scores; pieces of one length are looked up side by side."""
+        chars = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), "<u4").astype(U)
+        into: list[list[tuple[int, float]]] = [[] for _ in range(len(run) + 1)]
+        code = np.zeros(len(run), U)
+        for n in range(1, min(self.longest, len(run)) + 1):
+            code = code[: len(run) - n + 1] * _FACTOR + chars[n - 1 :] + U(1)
+            key = mix(code + U(n))
+            at = self.place(key)
+            found = self.keys[at] == key
+            if n == 1:
+                for i, s in enumerate(np.where(found, self.values[at], self.lone).tolist()):
+                    into[i + 1].append((i, s))
+            else:
+                where = np.flatnonzero(found)
+                for i, s in zip(where.tolist(), self.values[at[where]].tolist(), strict=True):
+                    into[i + n].append((i, s))
+        return into
 
     def n_best(self, run: str, n: int) -> list[tuple[float, tuple[str, ...]]]:
-        """The ``n`` best segmentations of a run, exactly: A* from its end, with the forward scores as what is still to come; of equals the one found first."""
+        """The ``n`` best segmentations of a run, exactly: A* from its end, with the forward scores as what is still to come; of equals the one nearest to its end, then the one found last, goes on, so that ties are not walked side by side."""
         if (run, n) in self.lists:
             return self.lists[run, n]
-        best, number = self.forward(run), itertools.count()
-        heap: list[tuple] = [(-best[-1], next(number), len(run), 0.0, None)]
+        into, number = self.arcs(run), itertools.count()
+        best = [0.0] * (len(run) + 1)
+        for at in range(1, len(run) + 1):
+            best[at] = max(best[i] + s for i, s in into[at])
+        heap: list[tuple] = [(-best[-1], len(run), 0, 0.0, None)]
         found: list[tuple[float, tuple[str, ...]]] = []
         while heap and len(found) < n:
-            _, _, at, held, path = heapq.heappop(heap)
+            _, at, _, held, path = heapq.heappop(heap)
             if at == 0:
                 pieces = []
                 while path:
@@ -175,12 +189,14 @@ class Pieces:
                     pieces.append(piece)
                 found.append((held, tuple(pieces)))
                 continue
-            for i in range(max(0, at - self.longest), at):
-                if (s := self.score(run[i:at])) is not None:
-                    heapq.heappush(heap, (-(held + s + best[i]), next(number), i, held + s, (run[i:at], path)))
-        if len(self.lists) > LISTS:
+            for i, s in into[at]:
+                heapq.heappush(heap, (-(held + s + best[i]), i, -next(number), held + s, (run[i:at], path)))
+        self.listed += len(run)
+        if self.listed > LIST_CHARACTERS:
             self.lists.clear()
-        self.lists[run, n] = found
+            self.listed = len(run)
+        if len(run) <= LONGEST:
+            self.lists[run, n] = found
         return found
 
     def segment(self, column: pa.Array, n: int):
