@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .textkernel import U, frugal, mix, release_memory, slices, string_bytes, words
 
-#: Rows of the vector table; words and byte n-grams of these sizes share it.
+#: Rows of the vector table; words and n-grams of these many characters share it.
 BUCKETS, DIM = 1 << 18, 8
 GRAMS = (1, 3, 4)
 #: Labelled rows used at most for training: those with the least hash of their id.
@@ -21,7 +21,7 @@ EPOCHS, RATE = 12, 8.0
 
 @dataclass
 class SubwordModel:
-    """Vectors of the buckets (and of the four trigram shapes), the output layer and its bias, as trained."""
+    """Vectors of the buckets, the output layer and its bias, as trained."""
 
     vectors: np.ndarray
     output: np.ndarray
@@ -32,27 +32,36 @@ class SubwordModel:
         return (self.vectors @ (self.output[1] - self.output[0])).astype(np.float64)
 
 
-def features(data: np.ndarray, bounds: np.ndarray):
-    """Arrays of buckets with the row bounds inside them: the words, the shapes of word trigrams, then each n-gram size.
+def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each UTF-8 character (its bytes, low to high) and the row bounds in characters; a byte that begins none is joined to the one before it in its row."""
+    if not len(data):
+        return np.zeros(0, U), np.zeros(len(bounds), np.int64)
+    begins = (data & 0xC0) != 0x80
+    begins[bounds[:-1][bounds[:-1] < len(data)]] = True
+    at = np.flatnonzero(begins)
+    size = np.diff(np.r_[at, len(data)])
+    code = data[at].astype(U)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        code[more] |= data[at[more] + k].astype(U) << U(8 * k)
+    return code, np.searchsorted(at, bounds)
 
-    The shape of a trigram says which of its words are the same; it has a
-    bucket of its own, so repetition of any word is one feature.
-    """
+
+def features(data: np.ndarray, bounds: np.ndarray):
+    """Arrays of buckets with the bounds of rows inside them: the words, then each size of character n-gram."""
     row, _, _, value = words(data, bounds, lower=True)
     at = np.searchsorted(row, np.arange(len(bounds)))
-    yield (value & U(BUCKETS - 1)).astype(np.int64), at
-    shape = np.zeros(len(value), np.int64)
-    for back in (1, 2):
-        shape[back:] += back * ((value[back:] == value[:-back]) & (row[back:] == row[:-back]))
-    yield BUCKETS + shape, at
-    wide = data.astype(U) + U(1)
+    yield (value & U(BUCKETS - 1)).astype(np.int64), np.c_[at[:-1], at[1:]]
+    wide, bounds = characters(data, bounds)
+    wide = wide + U(1)
     for n in GRAMS:
-        count = max(0, len(data) - n + 1)
+        count = max(0, len(wide) - n + 1)
         code = np.zeros(count, U)
         for k in range(n):
             code = code * U(0x100000001B3) + wide[k : k + count]
         bucket = (mix(code + U(n << 56)) & U(BUCKETS - 1)).astype(np.int64)
-        yield bucket, np.c_[np.minimum(bounds[:-1], count), np.clip(bounds[1:] - n + 1, np.minimum(bounds[:-1], count), count)]
+        first = np.minimum(bounds[:-1], count)
+        yield bucket, np.c_[first, np.maximum(np.minimum(bounds[1:] - n + 1, count), first)]
 
 
 def margin(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -60,7 +69,7 @@ def margin(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarra
     total, count = np.zeros(len(bounds) - 1), np.zeros(len(bounds) - 1)
     for bucket, at in features(data, bounds):
         run = np.r_[0.0, np.cumsum(table[bucket])]
-        a, b = (at[:-1], at[1:]) if at.ndim == 1 else at.T
+        a, b = at.T
         total += run[b] - run[a]
         count += b - a
     return total / np.maximum(count, 1)
@@ -69,7 +78,7 @@ def margin(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarra
 def train(texts: list[str], labels: list[int], seed: int = 13, epochs: int = EPOCHS, rate: float = RATE) -> SubwordModel:
     """Plain SGD, one document at a time in a seeded order, with a rate that falls to zero."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 4, DIM))
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     output, bias = rng.normal(0, 1 / DIM**0.5, (2, DIM)), np.zeros(2)
     share = float(np.mean(labels)) if labels else 0.5
     if not labels or len(set(labels)) < 2:
@@ -80,7 +89,6 @@ def train(texts: list[str], labels: list[int], seed: int = 13, epochs: int = EPO
         found = np.concatenate([b for b, _ in features(data, np.array([0, len(data)]))])
         bucket, times = np.unique(found, return_counts=True)
         rows.append((bucket.astype(np.int32), (times / max(1, times.sum())).astype(np.float32)))
-    target = np.eye(2)[labels]
     bias[:] = [np.log(1 - share), np.log(share)]
     steps, step = epochs * len(rows), 0
     for _ in range(epochs):
@@ -89,28 +97,37 @@ def train(texts: list[str], labels: list[int], seed: int = 13, epochs: int = EPO
             step += 1
             bucket, part = rows[k]
             own = vectors[bucket]
-            hidden = part @ own
-            odds = output @ hidden + bias
-            odds = np.exp(odds - odds.max())
-            error = target[k] - odds / odds.sum()
-            back = error @ output
-            output += 0.05 * pace * np.outer(error, hidden)
-            bias += 0.001 * pace * error
-            vectors[bucket] = own + (pace * part)[:, None] * back
+            to_vectors, to_output, to_bias = gradients(own, part, output, bias, labels[k])
+            output -= 0.05 * pace * to_output
+            bias -= 0.001 * pace * to_bias
+            vectors[bucket] = own - pace * to_vectors
     return SubwordModel(vectors, output, bias)
 
 
+def gradients(own: np.ndarray, part: np.ndarray, output: np.ndarray, bias: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one document's softmax loss: by its buckets' vectors (``part`` is each one's share of the features), the output layer and the bias."""
+    hidden = part @ own
+    odds = output @ hidden + bias
+    error = np.exp(odds - odds.max())
+    error /= error.sum()
+    error[label] -= 1
+    return part[:, None] * (error @ output), np.outer(error, hidden), error
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> SubwordModel:
     """Train on labelled documents; only the text is an input.
 
     At most ``train_rows`` labelled rows are used, those whose id has the least
     hash, so the sample is the same in every run.  Rows with a null label, id or
-    text are left out.  Without two classes the model gives the share of class 1.
+    text are left out; where ids repeat, at most ``train_rows`` of the joined
+    rows are used, in the same order.  Without two classes the model gives the
+    share of class 1.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__y IN (0, 1)")
     picked = known.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id", "__y").limit(train_rows)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where("__t IS NOT NULL")
-    rows = texts.join(F.broadcast(picked), "__id").select("__id", "__t", "__y").collect()  # bounded by train_rows
+    joined = texts.join(F.broadcast(picked), "__id").select("__id", "__t", "__y")
+    rows = joined.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id", "__y", F.md5(F.col("__t").cast("binary"))).limit(train_rows).collect()
     rows.sort(key=lambda r: (r["__id"], r["__y"], r["__t"]))
     labels_of, texts_of = [r["__y"] for r in rows], [r["__t"] for r in rows]
     del rows
