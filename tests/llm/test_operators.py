@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -182,8 +183,13 @@ def encoded(text):
 
 
 def test_shards_hold_whole_texts_in_order(spark, docs, none):
-    folder = bitpack.write_token_shards(docs, WORD_BPE, end_id=2, block_ids=500)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)  # a session's settings do not break shards
+    try:
+        folder = bitpack.write_token_shards(docs, WORD_BPE, end_id=2, block_ids=500, shard_bytes=3000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     found = bitpack.read_token_shards(spark, folder).collect()
+    assert len({r.shard for r in found}) > len({r.shard[:9] for r in found})  # a task closes shards by bytes
     rows = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     at, want = 0, Counter()
     for i, t, *_ in rows:
@@ -273,6 +279,25 @@ def test_media_round_trip_and_fingerprints(docs, none):
     assert media_wav.wav_fingerprints(media_wav.to_wav_column(none)).count() == 0
 
 
+def test_media_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a" * 700, 5, "x"), (None, None, None, None)], "doc_id long, text string, codes int, Payload string")
+    media = media_wav.to_wav_column(df).join(df.drop("text"), "doc_id", "left").unionByName(spark.createDataFrame([(2, 0, None, 1, "y")], "doc_id long, n_bytes long, media binary, codes int, Payload string"))
+    found = {r.doc_id: r for r in media_wav.wav_fingerprints(media).collect()}
+    assert bytes(found[1].payload) == b"a" * 700 + b"\xff" * 452 and found[2].payload is None and found[2].codes is None
+    assert list(found[1].asDict()) == ["doc_id", "n_bytes", "media", "payload", "codes", "times"]
+
+
+def test_pair_codes_against_a_plain_version():
+    """Every pair of a peak with the next ones, worked out by loops over the peaks."""
+    n = np.arange(576 * 9)
+    samples = (128 + 50 * np.sin(2 * np.pi * 20 * n / 576) * (1 + 0.3 * np.sin(n / 900)) + 30 * np.sin(2 * np.pi * 90 * n / 576)).astype(np.uint8)
+    frame, bins = media_wav.peaks(samples)
+    order = sorted(zip(frame.tolist(), bins.tolist()))
+    want = sorted((f, k, b << 14 | order[i + k][1] << 5 | order[i + k][0] - f) for i, (f, b) in enumerate(order) for k in range(1, media_wav.PAIRS + 1) if i + k < len(order) and order[i + k][0] - f <= media_wav.REACH)
+    codes, times = media_wav.fingerprint(samples)
+    assert [(t, c) for t, c in zip(times.tolist(), codes.tolist())] == [(f, c) for f, _, c in want] and len(want) > 10
+
+
 def test_peaks_of_two_tones():
     n = np.arange(576 * 12)
     wave_ = 128 + 50 * np.sin(2 * np.pi * 20 * n / 576) * (1 + 0.3 * np.sin(n / 900)) + 30 * np.sin(2 * np.pi * 90 * n / 576) * (1 + 0.3 * np.cos(n / 700))
@@ -344,6 +369,62 @@ def test_members_of_several_records_are_salvaged_whole():
     assert names(member(large)[:70000] + member(records[3:])) == [*every[:3], "gap", every[3]]
 
 
+def test_salvage_takes_strange_headers():
+    good = warc.record(1, "u", b"payload", None)
+    base32 = warc.sha1_base32(b"payload")
+    hexed = good.replace(f"WARC-Payload-Digest: sha1:{base32}".encode(), b"WARC-Payload-Digest: SHA1:" + hashlib.sha1(b"payload").hexdigest().upper().encode())
+    assert hexed != good
+    size = good[good.index(b"Content-Length: ") :].split(b"\r\n")[0]
+    strange = [good.replace(size, b"Content-Length: " + x) for x in ("²68".encode(), b"9" * 5000, b"-1", b"", b"+5", "٣".encode())]
+    data = b"\r\n\r\n".join([hexed, *strange, good, b"WARC/1.1\r\n" + b"x" * (2 << 20), good, b""])
+    out = list(warc.salvage(data))
+    assert sum(isinstance(r, warc.Record) for r in out) == 3 and sum(isinstance(r, warc.Gap) for r in out) == 2
+    assert warc.whole_number("²") is None and warc.whole_number("12") == 12 and warc.whole_number(None) is None
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_salvage_of_random_damage(packed):
+    rng = random.Random(4)
+    made = [warc.record(i, "u", prose(rng.randint(1, 40), rng).encode(), None) + b"\r\n\r\n" for i in range(20)]
+    parts = [gzip.compress(x, mtime=0) for x in made] if packed else made
+    starts = np.r_[0, np.cumsum([len(x) for x in parts])]
+    for _ in range(60):
+        data, hit = bytearray(b"".join(parts)), set()
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(data))
+            data[at] ^= 1 << rng.randrange(8)
+            hit.add(int(np.searchsorted(starts, at, "right")) - 1)
+        cut = rng.randrange(len(data)) if rng.random() < 0.5 else len(data)
+        out = list(warc.salvage(bytes(data[:cut])))
+        names = {r.headers.get("warc-record-id") for r in out if isinstance(r, warc.Record)}
+        # every record that was not touched is there, and what no record covers is in a gap
+        assert {warc.record_name(k) for k in range(20) if k not in hit and starts[k + 1] <= cut} <= names
+        spans = sorted((g.start, g.end) for g in out if isinstance(g, warc.Gap))
+        found_at = {r.offset for r in out if isinstance(r, warc.Record)}
+        lost = [k for k in hit if starts[k + 1] <= cut and starts[k] not in found_at]
+        assert all(any(a <= starts[k] < b for a, b in spans) for k in lost) and all(b <= cut for _, b in spans)
+
+
+def test_members_take_linear_time():
+    one = gzip.compress(warc.record(1, "u", b"p" * 50, None) + b"\r\n\r\n")
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.salvage(one * n)) == n
+        return time.perf_counter() - began
+
+    seconds(200)
+    assert seconds(4000) < 12 * max(seconds(1000), 0.02)
+
+
+def test_files_are_cut_by_bytes(spark):
+    rows = [(i, "u", "z" * 3000 + str(i)) for i in range(40)]
+    folder = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), file_bytes=20000)
+    files = spark.read.format("binaryFile").load(folder).select("length").collect()
+    assert len(files) >= 6 and max(r.length for r in files) < 24000
+    assert warc.read_warc(spark, folder).count() == 40
+
+
 # 7 packing
 
 
@@ -386,30 +467,64 @@ def test_plans_hold_the_histogram_and_come_near_the_bound(seed):
     histogram = Counter(lengths.tolist())
     plan = packing.packing_plan(histogram.items(), 1024)
     held = Counter()
-    for pattern, times in plan:
+    for pattern, times in plan.patterns:
         assert sum(x * n for x, n in pattern) <= 1024
         for x, n in pattern:
             held[x] += n * times
     assert held == histogram
     bound = max(-(-int(lengths.sum()) // 1024), int((lengths > 512).sum()))
-    assert sum(t for _, t in plan) <= bound * 1.02 + 1
-
-
-def test_three_lengths_that_fill_exactly():
-    plan = packing.packing_plan({50: 100, 30: 100, 20: 100}.items(), 100)
-    assert sum(t for _, t in plan) == 100
+    assert bound <= plan.bound <= plan.sequences <= plan.bound * 1.01 + 1
 
 
-def test_lengths_without_exact_sums_come_to_the_bound_of_the_linear_program():
-    histogram = {2055: 6000, 1030: 6000, 1035: 6000, 1010: 12000}
-    plan = packing.packing_plan(histogram.items(), 4096)
+@pytest.mark.parametrize(("histogram", "capacity", "optimum"), [
+    ({50: 100, 30: 100, 20: 100}, 100, 100), ({2040: 600, 1080: 600, 1040: 600, 920: 1200}, 4096, 900), ({51: 600, 27: 600, 26: 600, 23: 1200}, 100, 900),
+    # prices of 1/2 for 2055 and 1/4 for the others are feasible in the dual: no pattern is worth more than 1
+    ({2055: 6000, 1030: 6000, 1035: 6000, 1010: 12000}, 4096, 9000),
+])
+def test_the_program_decides_where_best_fit_misses(histogram, capacity, optimum):
+    plan = packing.packing_plan(histogram.items(), capacity)
     held = Counter()
-    for pattern, times in plan:
-        assert sum(x * n for x, n in pattern) <= 4096
+    for pattern, times in plan.patterns:
+        assert sum(x * n for x, n in pattern) <= capacity
         for x, n in pattern:
             held[x] += n * times
-    # prices of 1/2 for 2055 and 1/4 for the others are feasible in the dual: no pattern is worth more than 1
-    assert held == histogram and sum(t for _, t in plan) == 6000 / 2 + 24000 / 4
+    assert held == histogram and plan.sequences == plan.bound == optimum
+    assert capacity == 100 and 50 in histogram or sum(n for _, n in packing.best_fit(dict(histogram), capacity)) > optimum
+
+
+def test_plans_of_small_instances_against_exact_optima():
+    def optimum(items, capacity):
+        best = [len(items)]
+
+        def go(k, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if k == len(items):
+                best[0] = len(rooms)
+                return
+            for i, room in enumerate(rooms):
+                if room >= items[k] and room not in rooms[:i]:
+                    go(k + 1, [*rooms[:i], room - items[k], *rooms[i + 1 :]])
+            go(k + 1, [*rooms, capacity - items[k]])
+
+        go(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(3)
+    over = Counter()
+    for _ in range(80):
+        items = sorted(rng.integers(8, 60, int(rng.integers(1, 12))).tolist(), reverse=True)
+        plan, least = packing.packing_plan(Counter(items).items(), 100), optimum(items, 100)
+        assert plan.bound <= least <= plan.sequences <= least + 1
+        over[plan.sequences - least] += 1
+    assert over[0] >= 78
+
+
+def test_parts_of_a_frequent_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ROWS", 10)
+    df = spark.createDataFrame([(k, 0, 5 if k % 3 else 2, 9, 9) for k in range(120)], "doc_id long, piece int, length long, offset long, sequence_id long")
+    found = packing.pack_pieces(df, "length", 10).collect()
+    assert len(found) == 120 and whole(found, 10) == 48 and found[0].__fields__ == ["doc_id", "piece", "length", "sequence_id", "offset"]
 
 
 # 8 n-best
@@ -427,6 +542,14 @@ def test_segmentations_against_all_paths():
                     yield x + r, (s[:j], *p)
 
     rng = random.Random(2)
+    long = "".join(rng.choice("abthe日本é😀") for _ in range(300))
+    (first, ids, told), *_ = next(model.segment(pa.array([long]), 2))
+    best = [0.0] + [-math.inf] * (len(long) + 1)
+    for i in range(len(long) + 1):
+        for j in range(i + 1, min(len(long) + 1, i + model.longest) + 1):
+            if (x := model.score((nbest.BLANK + long)[i:j])) is not None:
+                best[j] = max(best[j], best[i] + x)
+    assert told and abs(first - best[-1]) < 1e-6 and model.decode(np.frombuffer(ids, "<u4").tolist()) == long
     cases = ["", "ab cd", "the\nxy", "  é z", "😀a b", " \n", "a\n\nb "] + ["".join(rng.choice("abthe \né😀") for _ in range(rng.randint(0, 9))) for _ in range(60)]
     for text, found in zip(cases, model.segment(pa.array(cases), 5), strict=True):
         every = sorted((s for s, _ in paths((" " + text).replace(" ", nbest.BLANK))), reverse=True)[:5]
@@ -555,7 +678,7 @@ def test_one_class_and_no_labels(spark, docs):
 
 def test_margin_is_the_mean_over_features():
     rng = np.random.default_rng(0)
-    table = rng.normal(size=subword_classifier.BUCKETS + 4)
+    table = rng.normal(size=subword_classifier.BUCKETS)
     texts = ["", "a", "ab ab ab", "été lamp  lamp", "x" * 50]
     data, bounds = textkernel.string_bytes(pa.array(texts))
     together = subword_classifier.margin(data, bounds, table)
@@ -565,6 +688,38 @@ def test_margin_is_the_mean_over_features():
         assert abs(together[k] - (table[found].mean() if len(found) else 0)) < 1e-9
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(2)
+    own, output, bias = rng.normal(size=(5, subword_classifier.DIM)), rng.normal(size=(2, subword_classifier.DIM)), rng.normal(size=2)
+    part = rng.dirichlet(np.ones(5))
+
+    def loss(label):
+        odds = output @ (part @ own) + bias
+        return np.log(np.exp(odds).sum()) - odds[label]
+
+    for label in (0, 1):
+        for x, g in zip((own, output, bias), subword_classifier.gradients(own, part, output, bias, label), strict=True):
+            for at in np.ndindex(x.shape):
+                kept = x[at]
+                x[at] = kept + 1e-6
+                more = loss(label)
+                x[at] = kept - 1e-6
+                less = loss(label)
+                x[at] = kept
+                assert abs((more - less) / 2e-6 - g[at]) < 1e-6
+
+
+def test_features_are_of_characters():
+    texts = ["", "ab", "été", "日本語 x", "ab", "😀é"]
+    data, bounds = textkernel.string_bytes(pa.array(texts))
+    codes, at = subword_classifier.characters(data, bounds)
+    assert [at[k + 1] - at[k] for k in range(len(texts))] == [len(t) for t in texts]
+    number = {}
+    assert all(number.setdefault(int(c), ch) == ch for c, ch in zip(codes, "".join(texts), strict=True)) and len(number) == len(set("".join(texts)))
+    sizes = [[int(b - a) for a, b in where] for _, where in subword_classifier.features(data, bounds)]
+    assert sizes == [[len(t.split()) for t in texts], *([max(0, len(t) - n + 1) for t in texts] for n in subword_classifier.GRAMS)]
+
+
 # shared parts
 
 
