@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .textkernel import U, frugal, mix, release_memory, slices, string_bytes, words
 
-#: Rows of the vector table; words and n-grams of these many characters share it.
+#: Rows of the vector table; n-grams of these many words and of these many characters share it.
 BUCKETS, DIM = 1 << 18, 8
-GRAMS = (1, 3, 4)
+WORD_GRAMS, GRAMS = (1, 2, 3), (1, 3, 4)
 #: Labelled rows used at most for training: those with the least hash of their id.
 TRAIN_ROWS = 4000
 EPOCHS, RATE = 12, 8.0
@@ -48,10 +48,16 @@ def characters(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def features(data: np.ndarray, bounds: np.ndarray):
-    """Arrays of buckets with the bounds of rows inside them: the words, then each size of character n-gram."""
+    """Arrays of buckets with the bounds of rows inside them: each size of word n-gram, then each of character n-gram; none crosses rows."""
     row, _, _, value = words(data, bounds, lower=True)
-    at = np.searchsorted(row, np.arange(len(bounds)))
-    yield (value & U(BUCKETS - 1)).astype(np.int64), np.c_[at[:-1], at[1:]]
+    for n in WORD_GRAMS:
+        count = max(0, len(value) - n + 1)
+        code = value[:count]
+        for k in range(1, n):
+            code = mix(code * U(0x100000001B3) + value[k : k + count])
+        inside = np.flatnonzero(row[:count] == row[n - 1 : n - 1 + count])
+        at = np.searchsorted(row[inside], np.arange(len(bounds)))
+        yield (code[inside] & U(BUCKETS - 1)).astype(np.int64), np.c_[at[:-1], at[1:]]
     wide, bounds = characters(data, bounds)
     wide = wide + U(1)
     for n in GRAMS:

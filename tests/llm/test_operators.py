@@ -717,7 +717,8 @@ def test_features_are_of_characters():
     number = {}
     assert all(number.setdefault(int(c), ch) == ch for c, ch in zip(codes, "".join(texts), strict=True)) and len(number) == len(set("".join(texts)))
     sizes = [[int(b - a) for a, b in where] for _, where in subword_classifier.features(data, bounds)]
-    assert sizes == [[len(t.split()) for t in texts], *([max(0, len(t) - n + 1) for t in texts] for n in subword_classifier.GRAMS)]
+    grams = lambda length, sizes: [[max(0, length(t) - n + 1) for t in texts] for n in sizes]
+    assert sizes == grams(lambda t: len(t.split()), subword_classifier.WORD_GRAMS) + grams(len, subword_classifier.GRAMS)
 
 
 # shared parts
