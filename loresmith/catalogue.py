@@ -17,6 +17,7 @@ MODULES = (
     "operators.graphs",
     "operators.selection",
     "operators.datasets",
+    "operators.prompts",
     "functions.text",
     "functions.arithmetic",
     "sources.scripts",

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from ..catalogue import query, table
 from .shared import checked
 
@@ -128,16 +130,8 @@ def dataset_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupingSets([[split], [lang], [split, lang], []], split, lang).agg(F.count(F.lit(1)).alias("records"), F.sum("n_chars").alias("chars"))
 
 
-@query("""SELECT topic, count(*) AS records FROM (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS topic FROM documents WHERE source = 'src2')
-           WHERE length(topic) = 3 GROUP BY topic""")
-def topic_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each topic counts once in a record, however often the record names it."""
-    docs = table(spark, sf_dir, "documents").where("source = 'src2'")
-    return docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("topic")).where("length(topic) = 3").groupBy("topic").agg(F.count(F.lit(1)).alias("records"))
-
-
 @query("""SELECT topic, count(*) AS records FROM (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS topic FROM documents) GROUP BY topic""")
-def topic_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topic_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over all sources and topics of any length."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("records"))
@@ -151,94 +145,111 @@ def slug_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", slug.alias("slug")).withColumn("valid", F.col("slug").rlike(SLUG))
 
 
-def contained(docs: DataFrame, needles: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", needle_col: str = "item_id") -> DataFrame:
-    """Which of the needles stand inside each text, all found in one pass over it by an automaton; needles are a checked, bounded set."""
-    shared = docs.sparkSession.sparkContext.broadcast(needles)
+#: Bytes of needles that are searched by one automaton; beyond that they meet the texts by their hashes.
+NEEDLE_BYTES = 16 << 20
+#: Characters at a needle's start by whose hash it meets places in texts, where there are too many for an automaton.
+ANCHOR = 16
+
+
+def contained(docs: DataFrame, needles: DataFrame, id_col: str = "doc_id", text_col: str = "text", needle_col: str = "item_id") -> DataFrame:
+    """(id, needle): which of the needles (their id and ``text``) stand inside each text.
+
+    While the needles' bytes are counted to be few they are sent to all tasks
+    and found in one pass over each text by an automaton.  Beyond
+    ``NEEDLE_BYTES`` nothing is collected: the hash of a needle's first
+    ``ANCHOR`` characters is joined with the hashes of all places of all texts,
+    and what meets is compared in full; shorter needles, of which there are few
+    different ones, stay with the automaton.  Empty and null needles are in no
+    text; repeated rows of a text give one row for each needle and id.
+    """
+    told = needles.select(F.col(needle_col).alias("needle"), F.col("text").alias("needle_text")).where("length(needle_text) > 0")
+    size = told.agg(F.sum(F.octet_length("needle_text"))).first()[0] or 0
+    if size <= NEEDLE_BYTES:
+        return _by_automaton(docs, told, id_col, text_col).toDF(id_col, needle_col).distinct()
+    long = told.where(F.length("needle_text") >= ANCHOR)
+    short = told.where(F.length("needle_text") < ANCHOR)
+    anchors = long.withColumn("h", F.xxhash64(F.left("needle_text", F.lit(ANCHOR))))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    places = rows.where(F.length("text") >= ANCHOR).select("id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - ANCHOR + 1), lambda i: F.xxhash64(F.substr("text", i, F.lit(ANCHOR)))))).alias("h"))
+    # only hashes are matched first; the texts of what matched come after
+    met = places.drop("text").join(anchors.select("needle", "h"), "h").select("id", "needle").distinct()
+    found = met.join(rows, "id").join(long, "needle").where(F.contains("text", "needle_text")).select("id", "needle")
+    return found.unionByName(_by_automaton(docs, short, id_col, text_col)).toDF(id_col, needle_col).distinct()
+
+
+def _by_automaton(docs: DataFrame, needles: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, needle) by one automaton over all needles, which the caller has counted."""
+    by_text: dict[str, list] = {}
+    for r in needles.collect():
+        by_text.setdefault(r["needle_text"], []).append(r["needle"])
+    shared = docs.sparkSession.sparkContext.broadcast(by_text)
+    id_type, needle_type = docs.schema[id_col].dataType.simpleString(), needles.schema["needle"].dataType.simpleString()
 
     def run(batches):
         import ahocorasick
 
-        automaton, by_text = ahocorasick.Automaton(), {}
-        for name, text in shared.value:
-            by_text.setdefault(text, []).append(name)
-        for text, names in by_text.items():
+        automaton = ahocorasick.Automaton()
+        for text, names in shared.value.items():
             automaton.add_word(text, names)
         automaton.make_automaton()
         for batch in batches:
             ids, found = [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = {x for _, names in automaton.iter(text) for x in names} if text and by_text else ()
+                hits = {x for _, names in automaton.iter(text) for x in names} if text and shared.value else ()
                 for x in sorted(hits):
                     ids.append(name)
                     found.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["id", "needle"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(found, kind)], ["id", "needle"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, needle long").toDF(id_col, needle_col)
+    kind = to_arrow_type(needles.schema["needle"].dataType)
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, needle {needle_type}")
 
 
-#: Needles that one automaton holds; more are searched in so many passes.
-NEEDLES = 100_000
+def paragraphs(targets: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, ``text``): the paragraphs of each target, apart at empty lines, without white space around them; those without a character are left out."""
+    each = F.explode(F.split(text_col, "\n\n", -1))
+    bare = F.regexp_replace(F.regexp_replace("p", r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+    return targets.select(id_col, each.alias("p")).select(id_col, bare.alias("text")).where("length(text) > 0").distinct()
 
 
-@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, trim(b.text)) WHERE length(trim(b.text)) > 0""")
+@query(r"""SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '') AS p FROM
+    (SELECT item_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10))) AS p FROM benchmark)) b ON contains(d.text, b.p) WHERE length(b.p) > 0""")
 def leakage_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the whole text of a target."""
-    docs = table(spark, sf_dir, "documents")
-    targets = table(spark, sf_dir, "benchmark").select("item_id", F.trim("text").alias("text")).where("length(text) > 0")
-    passes = -(-targets.count() // NEEDLES) or 1
-    out = None
-    for k in range(passes):
-        part = [(r["item_id"], r["text"]) for r in targets.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]
-        found = contained(docs, part)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-@query("""WITH j AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'missing' WHEN 2 THEN 'odd' ELSE 'ok' END AS status,
-                  CASE WHEN doc_id % 5 < 3 THEN ['A', 'B', 'abstain'][(doc_id % 5 + 1)::INT] END AS choice, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE quality / 2.0 END AS confidence, CASE WHEN toxic = 1 THEN 'reason' END AS error FROM labels)
-           SELECT doc_id, CASE WHEN status NOT IN ('ok', 'failed', 'missing') THEN 'status' WHEN status <> 'ok' AND choice IS NOT NULL THEN 'choice without result'
-             WHEN status = 'failed' AND error IS NULL THEN 'failure without error' WHEN status = 'ok' AND choice IS NULL THEN 'no choice'
-             WHEN status = 'ok' AND choice = 'abstain' AND confidence IS NOT NULL THEN 'confidence of abstention' WHEN status = 'ok' AND choice <> 'abstain' AND (confidence IS NULL OR confidence NOT BETWEEN 0 AND 1) THEN 'confidence'
-             ELSE 'valid' END AS verdict FROM j""")
-def judgment_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status, choice, confidence and error of judgments must fit each other; the first broken rule is named."""
-    d, c = F.col("doc_id"), F.col("choice")
-    rows = table(spark, sf_dir, "labels").select(
-        "doc_id", F.when(d % 7 == 0, "failed").when(d % 7 == 1, "missing").when(d % 7 == 2, "odd").otherwise("ok").alias("status"),
-        F.when(d % 5 == 0, "A").when(d % 5 == 1, "B").when(d % 5 == 2, "abstain").alias("choice"), F.when(d % 3 != 0, F.col("quality") / 2.0).alias("confidence"), F.when(F.col("toxic") == 1, "reason").alias("error"),
-    )
-    ok = F.col("status") == "ok"
-    verdict = (
-        F.when(~F.col("status").isin("ok", "failed", "missing"), "status").when(~ok & c.isNotNull(), "choice without result").when((F.col("status") == "failed") & F.col("error").isNull(), "failure without error")
-        .when(ok & c.isNull(), "no choice").when(ok & (c == "abstain") & F.col("confidence").isNotNull(), "confidence of abstention")
-        .when(ok & (c != "abstain") & (F.col("confidence").isNull() | ~F.col("confidence").between(0, 1)), "confidence").otherwise("valid")
-    )
-    return rows.select("doc_id", verdict.alias("verdict"))
+    """Documents that hold any paragraph of a target; each sentence of the benchmark is made a paragraph of its own."""
+    targets = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return contained(table(spark, sf_dir, "documents"), paragraphs(targets, "item_id"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)::BIGINT) AS ids FROM documents WHERE len(string_split(text, ' ')) BETWEEN 2 AND 300)
-           SELECT doc_id, len(ids)::BIGINT AS tokens, list_sum(list_transform(ids, lambda x, i: CASE WHEN i <= len(ids) // 2 THEN -100 ELSE x END))::BIGINT AS label_sum,
-             len(list_filter(list_transform(ids, lambda x, i: CASE WHEN i <= len(ids) // 2 THEN -100 ELSE x END), lambda x: x = -100))::BIGINT AS masked FROM t""")
-def loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Examples of 2 to 300 tokens (longer ones are not cut but left out), with the prefix masked by -100."""
-    ids = F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).where(F.size("ids").between(2, 300))
-    labels = F.transform("ids", lambda x, i: F.when(i < F.floor(F.size("ids") / 2), F.lit(-100).cast("long")).otherwise(x))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("tokens"), labels.alias("labels")).select("doc_id", "tokens", F.aggregate("labels", F.lit(0).cast("long"), lambda s, x: s + x).alias("label_sum"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"))
+def loss_examples(rows: DataFrame, prefix_col: str, ids_col: str, most: int, least: int = 2, mask: bool = True, pad_to: int | None = None, ignore: int = -100) -> DataFrame:
+    """``rows`` with ``input_ids``, ``attention_mask`` and ``labels``, and a ``fault`` where there are not ``least`` to ``most`` ids, which are never cut.
+
+    ``prefix_col`` is how many ids stand before the target: their labels are
+    ``ignore``, unless ``mask`` is off and the whole example is learned.  With
+    ``pad_to`` ids are filled up with 0, masked out and ignored.  Null ids count
+    as none.
+    """
+    ids = F.coalesce(F.col(ids_col).cast("array<bigint>"), F.array().cast("array<bigint>"))
+    n = F.size("input_ids")
+    labels = F.transform("input_ids", lambda x, i: F.when(i < F.coalesce(F.col(prefix_col), F.lit(0)), F.lit(ignore).cast("long")).otherwise(x)) if mask else F.col("input_ids")
+    out = rows.withColumn("input_ids", ids).withColumns({"attention_mask": F.transform("input_ids", lambda x: F.lit(1).cast("long")), "labels": labels})
+    out = out.withColumn("fault", F.when(~n.between(least, most), F.lit(f"expected {least}..{most} tokens")))
+    if pad_to is None:
+        return out
+    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v).cast("long"), F.greatest(F.lit(pad_to) - F.size(c), F.lit(0))))
+    return out.withColumns({"input_ids": fill("input_ids", 0), "attention_mask": fill("attention_mask", 0), "labels": fill("labels", ignore)})
 
 
 @query("""WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)::BIGINT) AS ids FROM documents)
-           SELECT doc_id, len(ids)::BIGINT AS tokens, list_sum(list_transform(ids, lambda x, i: CASE WHEN i <= len(ids) // 2 THEN -100 ELSE x END))::BIGINT AS label_sum,
-             len(list_filter(list_transform(ids, lambda x, i: CASE WHEN i <= len(ids) // 2 THEN -100 ELSE x END), lambda x: x = -100))::BIGINT AS masked,
-             CASE WHEN len(ids) NOT BETWEEN 2 AND 300 THEN 'expected 2..300 tokens' END AS fault FROM t""")
-def loss_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with the prefix masked by -100; one that the reference would refuse for its length stays and is named so."""
+           SELECT doc_id, len(ids)::BIGINT AS tokens, list_sum(list_transform(ids, lambda x, i: CASE WHEN i <= doc_id % 9 THEN -100 ELSE x END))::BIGINT - 100 * greatest(64 - len(ids), 0) AS label_sum,
+             len(list_filter(list_transform(ids, lambda x, i: CASE WHEN i <= doc_id % 9 THEN -100 ELSE x END), lambda x: x = -100))::BIGINT + greatest(64 - len(ids), 0) AS masked,
+             greatest(64, len(ids))::BIGINT AS padded, CASE WHEN len(ids) NOT BETWEEN 2 AND 300 THEN 'expected 2..300 tokens' END AS fault FROM t""")
+def loss_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its prefix masked by -100 and padded; one that would be refused for its length stays and is named so."""
     ids = F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
-    labels = F.transform("ids", lambda x, i: F.when(i < F.floor(F.size("ids") / 2), F.lit(-100).cast("long")).otherwise(x))
-    told = rows.select("doc_id", F.size("ids").cast("long").alias("tokens"), labels.alias("labels"))
-    fault = F.when(~F.col("tokens").between(2, 300), "expected 2..300 tokens")
-    return told.select("doc_id", "tokens", F.aggregate("labels", F.lit(0).cast("long"), lambda s, x: s + x).alias("label_sum"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"), fault.alias("fault"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), (F.col("doc_id") % 9).alias("prefix"))
+    told = loss_examples(rows, "prefix", "ids", 300, pad_to=64)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    return told.select("doc_id", total("attention_mask").alias("tokens"), total("labels").alias("label_sum"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"), F.size("input_ids").cast("long").alias("padded"), "fault")
 
 
 @query("""SELECT 'labelled, not a document' AS difference, count(*) AS rows FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
@@ -250,20 +261,61 @@ def inventory_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(labels.join(docs, "doc_id", "left_anti"), "labelled, not a document").unionByName(count(docs.join(labels, "doc_id", "left_anti"), "document without a label"))
 
 
-@query("""SELECT conv_id, count(DISTINCT role) AS roles, bool_and(role <> 'system' OR turn = 0) AS system_leads FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system')""")
+def led_by_system(messages: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id, ``leads``): whether the first message of each conversation (id, turn, role) is the system's and no other is; curated data must be so."""
+    system = F.col("role") == "system"
+    found = messages.groupBy(id_col).agg(F.min("turn").alias("__first"), F.min(F.when(system, F.col("turn"))).alias("__system"), F.count_if(system).alias("__n"))
+    return found.select(id_col, F.coalesce((F.col("__n") == 1) & (F.col("__system") == F.col("__first")), F.lit(False)).alias("leads"))
+
+
+@query("""SELECT conv_id, coalesce(count(*) FILTER (role = 'system') = 1 AND min(turn) FILTER (role = 'system') = min(turn), false) AS leads FROM conversations GROUP BY conv_id""")
 def leading_system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_distinct("role").alias("roles"), F.bool_and((F.col("role") != "system") | (F.col("turn") == 0)).alias("system_leads"), F.bool_or(F.col("role") == "system").alias("any_system"))
-    return rows.where("any_system").drop("any_system")
+    return led_by_system(table(spark, sf_dir, "conversations"))
+
 
+def eligible_references(candidates: DataFrame, target: DataFrame, seen: DataFrame, split: str) -> DataFrame:
+    """Candidates (scene_id, mission, path, line, scenario_group, conversation_id, split, owner_split) that may be read beside a target, each with why not as ``fault``.
 
-@query("""WITH h AS (SELECT l.l_orderkey, p.p_brand FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_quantity >= 45)
-           SELECT o.o_orderkey, count(DISTINCT h.p_brand) AS brands FROM orders o JOIN h ON h.l_orderkey = o.o_orderkey
-           WHERE o.o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY o.o_orderkey""")
+    ``target``: mission, path, line, scenario_group, role (``target`` for the
+    target and its definitions, ``ancestor`` for missions that come before it);
+    ``seen``: path, line of what the history shows.  A reference must stand in a
+    file of the target, be neither it nor its ancestor nor of its scenario, not
+    be shown already, and neither its mission nor its conversation's owner may
+    be held out by a later split (null: nobody's).
+    """
+    from .retrieval import SPLITS
+
+    t = checked(target.select("mission", "path", "line", "scenario_group", "role"))
+    paths = t.where("role = 'target'").select("path").distinct()
+    flags = [
+        ("other file", candidates.select("path").distinct().join(paths, "path", "left_anti").select("path"), ["path"]),
+        ("target", t.where("role = 'target'").select("path", "line").distinct(), ["path", "line"]),
+        ("ancestor", t.where("role = 'ancestor'").select("mission").distinct(), ["mission"]),
+        ("same scenario", t.where("scenario_group IS NOT NULL AND role = 'target'").select("scenario_group").distinct(), ["scenario_group"]),
+        ("shown", seen.select("path", "line").distinct(), ["path", "line"]),
+    ]
+    out, fault = candidates, F.lit(None).cast("string")
+    for k, (name, rows, keys) in enumerate(flags):
+        out = out.join(rows.withColumn(f"__{k}", F.lit(name)), keys, "left")
+        fault = F.coalesce(fault, F.col(f"__{k}"))
+    late = lambda c: F.when(F.col(c).isin(*SPLITS[SPLITS.index(split) + 1 :]), "later split")
+    return out.select(*candidates.columns, F.coalesce(fault, late("split"), late("owner_split")).alias("fault"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN 'train' WHEN 'N' THEN 'validation' ELSE 'test' END AS split, CASE WHEN l_linestatus = 'O' THEN 'train' ELSE 'test' END AS owner_split FROM lineitem),
+    t AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey < 8)
+    SELECT c.l_orderkey, c.l_linenumber, CASE WHEN NOT c.l_suppkey IN (SELECT l_suppkey FROM t) THEN 'other file' WHEN c.l_orderkey < 8 THEN 'target' WHEN c.l_orderkey BETWEEN 8 AND 40 THEN 'ancestor' WHEN c.l_partkey < 10 THEN 'same scenario'
+      WHEN c.l_linenumber = 7 THEN 'shown' WHEN c.split = 'test' OR c.owner_split = 'test' THEN 'later split' END AS fault FROM c""")
 def reference_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References that share a path with the target but are neither the target's nor held out: an equi-join, then an anti-join."""
+    """All lines as candidates: suppliers as files, orders as missions, low parts as one scenario, the first orders as the target and what leads to it."""
     lines = table(spark, sf_dir, "lineitem")
-    held_out = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    hits = lines.where("l_quantity >= 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
-    parts = checked(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"))
-    rows = hits.join(held_out, "o_orderkey", "left_anti").join(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi").join(parts, "l_partkey")
-    return rows.groupBy("o_orderkey").agg(F.count_distinct("p_brand").alias("brands"))
+    split = F.when(F.col("l_returnflag") == "A", "train").when(F.col("l_returnflag") == "N", "validation").otherwise("test")
+    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    c = lines.select(
+        place.alias("scene_id"), F.col("l_orderkey").alias("mission"), F.col("l_suppkey").alias("path"), place.alias("line"), F.when(F.col("l_partkey") < 10, "low").alias("scenario_group"),
+        "l_orderkey", "l_linenumber", split.alias("split"), F.when(F.col("l_linestatus") == "O", "train").otherwise("test").alias("owner_split"),
+    )
+    role = F.when(F.col("mission") < 8, "target").when(F.col("mission") <= 40, "ancestor")
+    target = c.select("mission", "path", "line", F.lit("low").alias("scenario_group"), role.alias("role")).where("role IS NOT NULL")
+    seen = c.where("l_linenumber = 7").select("path", "line")
+    return eligible_references(c, target, seen, "validation").select("l_orderkey", "l_linenumber", "fault")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def balanced_sides(trials: DataFrame, keys: list[str], id_col: str = "doc_id", s
     before it (a row per condition and part) are added.
     """
     key = seeded_key(seed, F.col(id_col))
-    rows = trials.select(*keys, id_col, key.alias("__key"), (F.conv(F.left(key, F.lit(2)), 16, 10).cast("int") % PARTS).alias("__part"))
+    rows = trials.select(*keys, id_col, key.alias("__key"), F.floor(F.conv(F.left(key, F.lit(2)), 16, 10).cast("int") * PARTS / 256).alias("__part"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     counts = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n")).select(*keys, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
     number = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__key", id_col))
@@ -66,11 +68,49 @@ def parity_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("query"), F.when(odd == 0, "small").otherwise("large").alias("first_run")).agg(F.count(F.lit(1)).alias("passages"))
 
 
-@query("""SELECT d.doc_id, p.place FROM (SELECT unnest([9, 3, 7, 1, 5]) AS doc_id, unnest([1, 2, 3, 4, 5]) AS place) p JOIN documents d ON d.doc_id = p.doc_id ORDER BY place LIMIT 3""")
+def selected(samples: DataFrame, ids: Sequence, id_col: str, limit: int | None = None) -> DataFrame:
+    """The samples of a stated list of ids in its order, with their ``place`` from 0; then the first ``limit`` of them.
+
+    An id that is not there, or is listed or found twice, is refused.  The list is
+    the caller's, so it is small; the samples are read once, by a filter.
+    """
+    if len(set(ids)) != len(ids):
+        raise ValueError("an id is listed twice")
+    if not ids:
+        return samples.where(F.lit(False)).withColumn("place", F.lit(0))
+    kind = samples.schema[id_col].dataType
+    places = F.create_map(*(x for i, n in enumerate(ids) for x in (F.lit(n).cast(kind), F.lit(i))))
+    found = samples.where(F.col(id_col).isin(list(ids))).withColumn("place", places[F.col(id_col)])
+    counts = {r[id_col]: r["n"] for r in found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the list
+    if bad := [x for x in ids if counts.get(x) != 1]:
+        raise ValueError(f"samples that are not there once: {bad}")
+    ordered = found.orderBy("place")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+@query("""SELECT d.doc_id, p.place FROM (SELECT unnest([9, 3, 7, 1, 5]) AS doc_id, unnest([0, 1, 2, 3, 4]) AS place) p JOIN documents d ON d.doc_id = p.doc_id ORDER BY place LIMIT 3""")
 def sample_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated list of ids in its order, then the first of them; ids that are not there would be an error of the caller."""
-    places = F.element_at(F.create_map(*(F.lit(x).cast("long") if i % 2 == 0 else F.lit(x) for i, x in enumerate((9, 1, 3, 2, 7, 3, 1, 4, 5, 5)))), F.col("doc_id"))
-    return table(spark, sf_dir, "documents").where(F.col("doc_id").isin(9, 3, 7, 1, 5)).select("doc_id", places.alias("place")).orderBy("place").limit(3)
+    """A stated list of ids in its order, then the first of them: the list and the limit are the feature."""
+    return selected(table(spark, sf_dir, "documents").select("doc_id"), [9, 3, 7, 1, 5], "doc_id", 3)
+
+
+def shuffled(rows: DataFrame, id_col: str, seed: str = "shuffle") -> DataFrame:
+    """All rows in one order that hangs on a hash alone, numbered from 0 as ``place``.
+
+    Rows are dealt by ranges of the hash and numbered range by range (one total
+    for each of ``PARTS`` ranges), so no task sorts them all.
+    """
+    key = seeded_key(seed, F.col(id_col))
+    told = rows.withColumns({"__key": key, "__part": F.floor(F.conv(F.left(key, F.lit(2)), 16, 10).cast("int") * PARTS / 256)})
+    counts = told.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # PARTS rows
+    number = F.row_number().over(Window.partitionBy("__part").orderBy("__key", id_col))
+    return told.withColumn("__k", number).join(F.broadcast(before), "__part").select(*rows.columns, (F.col("__k") + F.col("__before") - 1).cast("long").alias("place"))
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY sha256(concat('shuffle:', doc_id::VARCHAR)), doc_id) - 1 AS place FROM documents""")
+def shuffled_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 @query("""SELECT lang, arg_max(doc_id, n_chars * 1000000000 - doc_id) AS doc_id, max(n_chars) AS chars FROM documents GROUP BY lang""")
@@ -93,15 +133,29 @@ def greedy_pack(items: DataFrame, group_col: str, order_cols: list[str], cost_co
     Of the items of one cost the ones taken are the first few, at most
     budget / cost: once one of them does not fit, no later one does.  So only
     that many of each (group, cost) are gathered, however many the group has,
-    and the fold over them is exact and bounded by the budget alone.
+    and the fold over them is exact and bounded by the budget alone.  Items that
+    cost nothing always fit: they are listed without a fold.  Every group is
+    returned, with 0 and no ids where nothing fits; a null cost never fits, a
+    cost below 0 is refused.
     """
-    cost = F.col(cost_col)
-    place = F.row_number().over(Window.partitionBy(group_col, cost_col).orderBy(*order_cols))
-    kept = items.where((cost >= 1) & (cost <= budget)).select(group_col, id_col, cost.cast("long").alias("__cost"), *[c for c in order_cols if c not in (group_col, id_col, cost_col)], place.alias("__k"), cost_col).where(F.col("__k") <= F.floor(F.lit(budget) / F.col("__cost")))
-    listed = kept.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct(*order_cols, F.col("__cost").alias("cost"), F.col(id_col).alias("name")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-    folded = F.aggregate("items", start, lambda s, x: F.when(s["used"] + x["cost"] <= budget, F.struct((s["used"] + x["cost"]).alias("used"), F.array_append(s["ids"], x["name"]).alias("ids"))).otherwise(s))
-    return listed.select(group_col, folded.alias("f")).select(group_col, "f.used", "f.ids")
+    cost = F.col(cost_col).cast("long")
+    rest = [c for c in order_cols if c not in (group_col, id_col, cost_col)]
+    sound = items.select(group_col, id_col, *rest, *([cost_col] if cost_col in order_cols and cost_col not in rest else []), F.when(cost < 0, F.raise_error(F.lit("a cost below 0")).cast("long")).otherwise(cost).alias("__cost"))
+    place = F.row_number().over(Window.partitionBy(group_col, "__cost").orderBy(*order_cols))
+    entry = F.struct(*order_cols, F.col("__cost").alias("cost"), F.col(id_col).alias("name"))
+    kept = sound.where((F.col("__cost") >= 1) & (F.col("__cost") <= budget)).withColumn("__k", place).where(F.col("__k") <= F.floor(F.lit(budget) / F.col("__cost")))
+    listed = kept.groupBy(group_col).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    kind = items.schema[id_col].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.slice("items", 1, 0).alias("taken"))
+    folded = F.aggregate("items", start, lambda s, x: F.when(s["used"] + x["cost"] <= budget, F.struct((s["used"] + x["cost"]).alias("used"), F.array_append(s["taken"], x).alias("taken"))).otherwise(s))
+    packed = listed.select(group_col, folded.alias("f"))
+    free = sound.where("__cost = 0").groupBy(group_col).agg(F.collect_list(entry).alias("free"))
+    groups = items.select(group_col).distinct()
+    same = lambda a, b: F.col(f"{a}.{group_col}").eqNullSafe(F.col(f"{b}.{group_col}"))
+    joined = groups.alias("g").join(packed.alias("p"), same("g", "p"), "left").join(free.alias("z"), same("g", "z"), "left")
+    both = F.array_sort(F.concat(F.coalesce("p.f.taken", F.slice("z.free", 1, 0)), F.coalesce("z.free", F.slice("p.f.taken", 1, 0))))
+    ids = F.coalesce(F.transform(both, lambda x: x["name"]), F.array().cast(f"array<{kind}>"))
+    return joined.select(F.col(f"g.{group_col}").alias(group_col), F.coalesce("p.f.used", F.lit(0)).alias("used"), ids.alias("ids"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
@@ -113,15 +167,8 @@ def greedy_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_pack(table(spark, sf_dir, "documents"), "source", ["doc_id"], "n_chars", "doc_id", 8192)
 
 
-@query("""SELECT conv_id, list(turn ORDER BY turn) AS turns, sum(length(text))::BIGINT AS chars FROM conversations WHERE turn IN (0, 2) GROUP BY conv_id""")
-def source_order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected blocks stand in source order, whatever order they were selected in."""
-    rows = table(spark, sf_dir, "conversations").where(F.col("turn").isin(2, 0)).groupBy("conv_id")
-    return rows.agg(F.array_sort(F.collect_list("turn")).alias("turns"), F.sum(F.length("text")).alias("chars"))
-
-
 @query("""SELECT conv_id, list(turn ORDER BY turn) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
-def source_order_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over all turns."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id")
     return rows.agg(F.array_sort(F.collect_list("turn")).alias("turns"), F.sum(F.length("text")).alias("chars"))

@@ -62,33 +62,34 @@ def request_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "start", "requests")
 
 
-BUDGET = 2_000_000
+def gate(requests: DataFrame, budget: int) -> DataFrame:
+    """Admission of requests (user_id, request_id, ts, reserved, cost: null if unknown) as they come, until one would go beyond the user's budget.
 
-
-def gate(events: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Admission of requests as they come: what each user has spent is the state that is kept between batches.
-
-    Requests of one batch are taken by time; one that comes in a later batch
-    than a newer one is taken where it comes.
+    What a user has spent and whether the run has stopped is the state that is
+    kept between batches.  Requests of one batch are taken by time; one that
+    comes in a later batch than a newer one is taken where it comes.
     """
 
     def admit(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        spent = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        spent, stopped = state.get if state.exists else (0, False)
+        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
         out = []
         for r in rows.itertuples():
-            out.append((key[0], r.event_id, spent, spent + r.reserved <= budget))
-            spent += r.reserved if r.event_type == "error" else r.cost
-        state.update((spent,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "spent_before", "admitted"])
+            stopped = stopped or spent + r.reserved > budget
+            out.append((key[0], r.request_id, spent, not stopped))
+            if not stopped:
+                spent += int(r.reserved if pd.isna(r.cost) else r.cost)
+        state.update((spent, stopped))
+        yield pd.DataFrame(out, columns=["user_id", "request_id", "spent_before", "admitted"])
 
-    cents = F.round(F.col("value") * 1000).cast("long")
-    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", (cents + 500).alias("reserved"), cents.alias("cost"))
-    return rows.groupBy("user_id").applyInPandasWithState(admit, "user_id long, event_id long, spent_before long, admitted boolean", "spent long", "append", "NoTimeout")
+    rows = requests.select("user_id", "request_id", F.col("ts").cast("timestamp").alias("ts"), "reserved", "cost")
+    return rows.groupBy("user_id").applyInPandasWithState(admit, "user_id long, request_id long, spent_before long, admitted boolean", "spent long, stopped boolean", "append", "NoTimeout")
 
 
 def stream_budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_to_table(gate(event_stream(spark, sf_dir)), "append")
+    cents = F.round(F.col("value") * 1000).cast("long")
+    requests = event_stream(spark, sf_dir).select("user_id", F.col("event_id").alias("request_id"), "ts", (cents + 500 + F.col("event_id") % 7 * 4000).alias("reserved"), F.when(F.col("event_type") != "error", cents).alias("cost"))
+    return run_to_table(gate(requests, 200_000), "append")
 
 
 query(ORACLE_SQL[ledger.budget_gate.__name__])(stream_budget_gate)
