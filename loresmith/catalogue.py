@@ -22,6 +22,7 @@ MODULES = (
     "functions.arithmetic",
     "sources.scripts",
     "sources.bundles",
+    "sources.files",
     "plans.narrative",
     "streaming.replay",
 )
