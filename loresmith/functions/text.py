@@ -123,13 +123,6 @@ def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(json_in_html(F.col("html"))).alias("in_json"), F.md5(html_escape(F.col("html"))).alias("escaped"))
 
 
-@query("""SELECT c_custkey, regexp_replace(CASE WHEN c_custkey % 2 = 0 THEN 'You are ' ELSE '' END || c_name, '^You are ', '') AS reference,
-    CASE WHEN c_acctbal > 0 THEN 'continue' ELSE 'open' END AS task FROM customer""")
-def character_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.concat(F.when(F.col("c_custkey") % 2 == 0, "You are ").otherwise(""), "c_name")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.regexp_replace(told, "^You are ", "").alias("reference"), F.when(F.col("c_acctbal") > 0, "continue").otherwise("open").alias("task"))
-
-
 @query("""WITH d AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS p FROM documents)
     SELECT doc_id, md5(source || ' — on ' || lang || chr(10) || array_to_string(list_transform(p, lambda x, i: CASE WHEN i = len(p) THEN 'Player choice: ' || x ELSE x END), chr(10) || chr(10))) AS block FROM d""")
 def block_render(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def dataset_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT topic, count(*) AS records FROM (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS topic FROM documents) GROUP BY topic""")
 def topic_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all sources and topics of any length."""
+    """Each topic counts once for a record; the words of a text are its topics."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("records"))
 

@@ -84,7 +84,7 @@ _SPLIT = "CASE WHEN ('0x' || left(sha256(p::VARCHAR), 8))::BIGINT % 10 < 8 THEN
 
 @query()
 def chain_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over links from every mission; held to a union-find in the tests, since recursion in SQL is too slow on long chains."""
+    """Chains over links from every mission that are not all in one split; held to a union-find in the tests, since recursion in SQL is too slow on long chains."""
     p = F.col("p_partkey")
     edges = table(spark, sf_dir, "part").select(p.alias("a"), (p + 7).alias("b"))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("mission")).distinct()

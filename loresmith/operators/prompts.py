@@ -223,7 +223,7 @@ def scene_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, 'Character reference: ' || c_name AS reference FROM customer""")
-def character_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+def character_reference_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the names come as a description of who one is."""
     told = F.concat(F.when(F.col("c_custkey") % 2 == 0, "You are ").otherwise(""), "c_name")
     return table(spark, sf_dir, "customer").select("c_custkey", character_reference(told).alias("reference"))

@@ -129,15 +129,28 @@ def vec_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEAR = "label IN (1, 2, 3)"
 
 
+def by_priority(scenes: DataFrame, near: Column, depth: Column) -> DataFrame:
+    """Scenes (scene_id, score) with ``place``: those near in the history by their depth, then all others by score; ties by id.
+
+    Near scenes are few for each depth and are numbered among themselves; the
+    others are dealt by ranges of the score, each numbered alone, with the
+    totals of the ranges before added.
+    """
+    rows = scenes.withColumns({"__near": F.coalesce(near, F.lit(False)), "__depth": F.when(F.coalesce(near, F.lit(False)), depth)})
+    bucket = F.when(F.col("__near"), F.col("__depth").cast("double")).otherwise(F.lit(1e9) + F.floor((1 - F.col("score")) * 512))
+    told = rows.withColumn("__bucket", bucket)
+    before = told.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).select("__bucket", F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each depth and range of scores
+    number = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.desc("score"), "scene_id"))
+    return told.withColumn("__k", number).join(F.broadcast(before), "__bucket").select(*scenes.columns, (F.col("__k") + F.col("__before")).cast("long").alias("place"))
+
+
 @query(f"""WITH s AS (SELECT e.label, max({_COSINE}) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 2) q GROUP BY e.label)
-           SELECT label, score, row_number() OVER (ORDER BY CASE WHEN {_NEAR} THEN 0 ELSE 1 END, CASE WHEN {_NEAR} THEN label END NULLS LAST, score DESC, label) AS place FROM s""")
+           SELECT label AS scene_id, score, row_number() OVER (ORDER BY CASE WHEN {_NEAR} THEN 0 ELSE 1 END, CASE WHEN {_NEAR} THEN label END NULLS LAST, score DESC, label) AS place FROM s""")
 def static_context_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes near in the history come first by their depth, all others by score; ties by id.  One row per scene reaches the ordering."""
+    """Three scenes near at a depth of their own, the others by score.  One row per scene reaches the ordering."""
     passages = table(spark, sf_dir, "embeddings")
-    near = F.col("label").isin(1, 2, 3)
-    scenes = passages.select("label", score(F.col("embedding"), vector_of(passages, 2)).alias("score")).groupBy("label").agg(F.max("score").alias("score"))
-    order = Window.orderBy(F.when(near, 0).otherwise(1), F.when(near, F.col("label")).asc_nulls_last(), F.desc("score"), "label")
-    return scenes.select("label", "score", F.row_number().over(order).cast("long").alias("place"))
+    scenes = passages.select(F.col("label").alias("scene_id"), score(F.col("embedding"), vector_of(passages, 2)).alias("score")).groupBy("scene_id").agg(F.max("score").alias("score"))
+    return by_priority(scenes, F.col("scene_id").isin(1, 2, 3), F.col("scene_id"))
 
 
 @query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
@@ -169,7 +182,7 @@ def scene_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT doc_id AS scene_id, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS authored FROM documents)
            SELECT scene_id, k::BIGINT AS passage_index, length(authored)::BIGINT AS authored_chars, length(replace(authored, 'the', 'THE'))::BIGINT AS runtime_chars FROM a""")
 def runtime_to_authored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the documents of all sources."""
+    """Runtime passages meet authored ones by their place; another number of them would be an error."""
     return _runtime_to_authored(table(spark, sf_dir, "documents"))
 
 

@@ -9,7 +9,7 @@ that a column type cannot have.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import query, table
@@ -224,67 +224,84 @@ def milestone_dependencies(nodes: DataFrame) -> DataFrame:
         held = staged(held.unionByName(found))
 
 
-_SCRIPT = """mission "First Haul"
-\ton offer
-\t\tconversation
-\t\t\t`A hauler waves you over.`
-\t\t\tchoice
-\t\t\t\t`Take the crates.`
-\t\t\t\t\tgoto yes
-\t\t\t\t"Not today."
-\t\t\t\t\tdecline
-\t\t\tlabel yes
-\t\t\taction
-\t\t\t\tset hauling
-\t\t\t`You load them all.`
-\t\t\t\taccept
-\ton complete
-\t\tevent "crates arrive" 3
-\t\tdialog `Well done, pilot.`
-mission "Second Haul"
-\tto offer
-\t\thas "First Haul: done"
-\t\thas "event: crates arrive"
-\t\tor
-\t\t\thas "Third Haul: done"
-\t\t\thas hauling
-\ton offer
-\t\tconversation "dock talk"
-mission "Third Haul"
-\ton complete
-\t\tset famous # a comment
-conversation "dock talk"
-\t`Back again?`
-\tchoice
-\t\t`Yes.`
-phrase "cheer"
-\tword
-\t\t`hip hip hooray` 3
-government "Free Docks"
-government "Free Docks" extra
-event "crates arrive"
-\tgovernment "Free Docks"
-"""
-
-
-def fixture_nodes(spark: SparkSession) -> DataFrame:
-    return script_nodes(spark.createDataFrame([("docks/hauls.txt", _SCRIPT)], "path string, text string"))
+def phrase_definitions(nodes: DataFrame) -> DataFrame:
+    """(name, path, line, text): every definition of a phrase; ``text`` is its one literal, null where it has more than one word of one literal."""
+    n = F.size("above")
+    inside = owner(nodes).where("kind = 'phrase'").withColumns({"level": n, "t": F.col("tokens")})
+    count = lambda c: F.count_if(c)
+    per = inside.groupBy("path", "root_line").agg(
+        F.max(F.when(F.col("level") == 0, F.get("t", F.lit(1)))).alias("name"), count(F.col("level") == 1).alias("sections"), count((F.col("level") == 1) & (F.col("t") == F.array(F.lit("word")))).alias("words"),
+        count(F.col("level") == 2).alias("literals"), count((F.col("level") == 2) & (F.size("t") == 1)).alias("plain"), count(F.col("level") > 2).alias("deeper"), F.max(F.when(F.col("level") == 2, F.get("t", F.lit(0)))).alias("text"),
+    )
+    literal = (F.col("sections") == 1) & (F.col("words") == 1) & (F.col("literals") == 1) & (F.col("plain") == 1) & (F.col("deeper") == 0)
+    return per.select("name", "path", F.col("root_line").alias("line"), F.when(literal, F.col("text")).alias("text"))
 
 
-@query("""SELECT * FROM (VALUES ('conversation_words', 17), ('conversation_text_lines', 6), ('dialog_words', 3), ('dialog_text_lines', 1), ('phrase_news_words', 3), ('phrase_news_text_lines', 1),
-    ('conversation_blocks', 2), ('conversation_references', 1), ('root_mission', 3), ('root_conversation', 1), ('root_phrase', 1), ('root_government', 2)) t(metric, value)""")
+def resolved_references(nodes: DataFrame) -> DataFrame:
+    """(owner, path, line, kind, name, text, fault) of what missions refer to by name: conversations, which must be defined, and phrases of dialogs, which must have one definition of one literal (given as ``text``)."""
+    t = F.col("tokens")
+    told = owner(nodes).where("kind = 'mission' AND children = 0")
+    talks = told.where((key_of(t) == "conversation") & (F.size(t) == 2)).select("owner", "path", "line", F.lit("conversation").alias("kind"), F.get(t, F.lit(1)).alias("name"))
+    phrases = told.where((key_of(t) == "dialog") & (F.size(t) == 3) & (F.get(t, F.lit(1)) == "phrase")).select("owner", "path", "line", F.lit("phrase").alias("kind"), F.get(t, F.lit(2)).alias("name"))
+    defined = nodes.where((F.col("depth") == 0) & (key_of(t) == "conversation") & (F.size(t) > 1)).select(F.lit("conversation").alias("kind"), F.get(t, F.lit(1)).alias("name"), F.lit(None).cast("string").alias("text"))
+    known = defined.unionByName(phrase_definitions(nodes).select(F.lit("phrase").alias("kind"), "name", "text")).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("text"))
+    joined = talks.unionByName(phrases).join(known, ["kind", "name"], "left")
+    fault = F.when(F.col("n").isNull(), "not defined").when(F.col("n") > 1, "more than one definition").when((F.col("kind") == "phrase") & F.col("text").isNull(), "not one literal")
+    return joined.select("owner", "path", "line", "kind", "name", F.when(F.col("n") == 1, F.col("text")).alias("text"), fault.alias("fault"))
+
+
+def _nation_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a script for each nation, in the folder of its region: a mission that needs the nation before it, an event, a government."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    before = F.lag("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    needs = F.format_string('\tto offer\n\t\thas "%s: done"\n\t\thas "event: feast %s"\n\t\tor\n\t\t\thas "%s: done"\n', before, before, "r_name")
+    text = F.concat(
+        F.format_string('government "%s"\nmission "%s"\n\ton offer\n\t\tconversation # greeting\n\t\t\t`Welcome to %s.`\n\t\t\taction\n\t\t\t\tset "met %s"\n', "r_name", "n_name", "n_name", "r_name"),
+        F.format_string('\ton complete\n\t\tevent "feast %s" 3\n\t\tdialog `Farewell`\n', "n_name"), F.when(before.isNotNull(), needs).otherwise(""), F.format_string('event "feast %s"\n\tgovernment "%s"\n', "n_name", "r_name"),
+    )
+    return script_nodes(rows.select(F.concat("r_name", F.lit("/"), "n_name", F.lit(".txt")).alias("path"), text.alias("text")))
+
+
+_NATIONS = "SELECT r_name, n_name, lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS before FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query(f"""WITH n AS (SELECT r_name AS part, len(string_split(n_name, ' ')) AS w FROM ({_NATIONS})),
+    m AS (SELECT part, unnest(['conversation_words', 'conversation_text_lines', 'dialog_words', 'dialog_text_lines', 'conversation_blocks', 'root_mission', 'root_government']) AS metric, unnest([2 + w, 1, 1, 1, 1, 1, 1]) AS value FROM n)
+    SELECT coalesce(part, 'ALL') AS part, metric, sum(value)::BIGINT AS value FROM m GROUP BY GROUPING SETS ((part, metric), (metric))""")
 def script_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory_totals(fixture_nodes(spark)).where("part = 'ALL'").select("metric", F.col("value").cast("int").alias("value"))
+    """Words, lines, blocks and roots of the scripts by folder and over all."""
+    return inventory_totals(_nation_scripts(spark, sf_dir)).select("part", "metric", F.col("value").cast("long").alias("value"))
 
 
-@query("""SELECT * FROM (VALUES ('Second Haul', 'First Haul: done', 'First Haul', 'complete'), ('Second Haul', 'event: crates arrive', 'First Haul', 'complete')) t(mission, flag, parent, phase)""")
+@query(f"""SELECT n_name AS mission, before || ': done' AS flag, before AS parent, 'complete' AS phase FROM ({_NATIONS}) WHERE before IS NOT NULL
+    UNION ALL SELECT n_name, 'event: feast ' || before, before, 'complete' FROM ({_NATIONS}) WHERE before IS NOT NULL""")
 def script_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mission_dependencies(fixture_nodes(spark))
+    return mission_dependencies(_nation_scripts(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('hauling', 'mission', 'First Haul', 'offer'), ('famous', 'mission', 'Third Haul', 'complete')) t(variable, kind, owner, phase)""")
+@query(f"SELECT 'met ' || r_name AS variable, 'mission' AS kind, n_name AS owner, 'offer' AS phase FROM ({_NATIONS})")
 def script_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return condition_writers(fixture_nodes(spark))
+    return condition_writers(_nation_scripts(spark, sf_dir))
+
+
+@query(f"SELECT 'feast ' || n_name AS event, 'mission' AS kind, n_name AS owner, 'complete' AS phase FROM ({_NATIONS})")
+def script_schedulers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_schedulers(_nation_scripts(spark, sf_dir))
+
+
+@query("SELECT r_name AS government FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def script_governments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governments(_nation_scripts(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT p_type, count(*) AS n, min(p_name) AS text FROM part GROUP BY p_type)
+    SELECT p_partkey::VARCHAR AS owner, CASE p_partkey % 3 WHEN 0 THEN 'no ' || p.p_type ELSE p.p_type END AS name, CASE WHEN p_partkey % 3 > 0 AND d.n = 1 THEN d.text END AS text,
+      CASE WHEN p_partkey % 3 = 0 THEN 'not defined' WHEN d.n > 1 THEN 'more than one definition' END AS fault FROM part p JOIN d ON d.p_type = p.p_type""")
+def phrase_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a mission whose dialog refers to the phrase of its type, which every part of the type defines; a third refer to what nobody defines."""
+    text = F.format_string('mission "%d"\n\ton offer\n\t\tdialog phrase "%s"\nphrase "%s"\n\tword\n\t\t`%s`\n', "p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "no ").otherwise(""), "p_type"), "p_type", "p_name")
+    nodes = script_nodes(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), text.alias("text")))
+    return resolved_references(nodes).select("owner", "name", "text", "fault")
 
 
 @query("""SELECT conv_id, (1 + 2 * count(*))::BIGINT AS nodes, 2 AS deepest, count(*) FILTER (role = 'user') AS user_turns FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL GROUP BY conv_id""")
