@@ -275,8 +275,8 @@ def paired_differences(values: DataFrame, universe: DataFrame, conditions: Seque
     p = rows.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*")
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     found = p.groupBy(*keys, "left_condition", "right_condition").agg(F.count_if(both).alias("complete"), F.round(F.avg(F.when(both, F.col("y") - F.col("x"))), 9).alias("difference"))
-    size = universe.agg(F.count_distinct("sample_id").alias("__size"))
-    return found.join(F.broadcast(size)).select(*keys, "left_condition", "right_condition", "complete", (F.col("__size") - F.col("complete")).alias("incomplete"), "difference")  # one row is sent
+    size = universe.agg(F.count_distinct("sample_id")).first()[0]
+    return found.select(*keys, "left_condition", "right_condition", "complete", (F.lit(size) - F.col("complete")).alias("incomplete"), "difference")
 
 
 _VALUES = """SELECT doc_id, c AS condition, CASE WHEN (doc_id * 7 + c) % 6 = 0 THEN NULL ELSE ((doc_id * (c + 3)) % 5 < 2 + quality)::INT END AS value FROM labels, (VALUES (0), (1), (2)) t(c)"""
@@ -520,7 +520,7 @@ def cluster_bootstrap(rows: DataFrame, group_col: str, value_col: str, keys: Seq
     sized = groups.alias("g").join(seen.alias("x"), same("g", "x") or F.lit(True)).select("g.*", F.col("x.groups").alias("k"))
     each = F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("r")
 
-    few = sized.where(F.col("k") <= EXACT_GROUPS).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(group_col).alias("g"), F.col("s").cast("double").alias("s"), "n"))).alias("held"))
+    few = sized.where(F.col("k") <= EXACT_GROUPS).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(group_col).alias("g"), F.col("s").cast("double").alias("s"), "n"))).alias("held")).where(F.size("held") > 0)
     draw = lambda i: (F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), i.cast("string"))), F.lit(8)), 16, 10).cast("long") % F.size("held")).cast("int")
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
     total = F.aggregate(F.sequence(F.lit(0), F.size("held") - 1), zero, lambda a, i: F.struct((a["s"] + F.coalesce(F.get("held", draw(i))["s"], F.lit(0.0))).alias("s"), (a["n"] + F.get("held", draw(i))["n"]).alias("n")))

@@ -47,15 +47,19 @@ def conversation_owner_faults(users: DataFrame, splits: DataFrame) -> DataFrame:
     return each.groupBy("conversation").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
-def run_faults(selected: DataFrame, prompts: DataFrame, responses: DataFrame) -> DataFrame:
-    """(sample_id, fault) of a generation run: each response answers the prompt of its sample, word for word, and each sample was asked for."""
-    p = prompts.select("sample_id", F.col("messages_sha256").alias("asked"))
-    r = responses.select("sample_id", "status", F.col("messages_sha256").alias("answered"))
-    joined = selected.select("sample_id", F.lit(True).alias("wanted")).join(p, "sample_id", "full").join(r, "sample_id", "full")
+def run_faults(selected: DataFrame, prompts: DataFrame, responses: DataFrame, pools: DataFrame | None = None) -> DataFrame:
+    """(sample_id, fault) of a generation run: each response answers the prompt of its sample, word for word, each sample was asked for once, and each prompt was made of the pool (sample_id, pool_sha256) that the dataset has for it."""
+    once = lambda df, name, *columns: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias(name), *(F.first(c).alias(c) for c in columns))
+    p = once(prompts.withColumnRenamed("messages_sha256", "asked"), "prompted", "asked", *(["pool_sha256"] if pools is not None else []))
+    r = once(responses.withColumnRenamed("messages_sha256", "answered"), "responded", "status", "answered")
+    joined = once(selected, "wanted").join(p, "sample_id", "full").join(r, "sample_id", "full")
     fault = (
-        F.when(F.col("wanted").isNull(), "not selected").when(F.col("asked").isNull() & F.col("answered").isNotNull(), "response without prompt")
+        F.when(F.col("wanted").isNull(), "not selected").when((F.col("wanted") > 1) | (F.col("prompted") > 1) | (F.col("responded") > 1), "more than once").when(F.col("asked").isNull() & F.col("answered").isNotNull(), "response without prompt")
         .when(F.col("asked") != F.col("answered"), "prompt differs").when(~F.coalesce(F.col("status").isin("ok", "failed"), F.lit(True)), "status")
     )
+    if pools is not None:
+        joined = joined.join(pools.select("sample_id", F.col("pool_sha256").alias("made_of")), "sample_id", "left")
+        fault = fault.when(F.col("asked").isNotNull() & F.col("made_of").isNull(), "no pool").when(F.col("pool_sha256") != F.col("made_of"), "pool differs")
     return joined.select("sample_id", fault.alias("fault")).where("fault IS NOT NULL")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,23 +11,45 @@ from ..catalogue import query, table
 from .shared import checked, staged, staged_and_told
 
 
+#: Written parts of one size that are put together to one.
+MERGED = 4
+
+
+class Parts:
+    """A growing table in few written parts: of each size at most ``MERGED`` - 1, so each row is written again only as often as its part grows fourfold."""
+
+    def __init__(self, first: DataFrame):
+        self.held: list[tuple[int, DataFrame]] = [(0, first)]
+
+    def add(self, part: DataFrame) -> None:
+        self.held.append((0, part))
+        while len(self.held) >= MERGED and len({size for size, _ in self.held[-MERGED:]}) == 1:
+            size = self.held[-1][0] + 1
+            last, self.held = self.held[-MERGED:], self.held[:-MERGED]
+            self.held.append((size, staged(functools.reduce(DataFrame.unionByName, (df for _, df in last)))))
+
+    def whole(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, (df for _, df in self.held))
+
+
 def distances(edges: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
     """(start, node, distance): fewest steps from each start along ``edges`` (source, target); cycles end, what is not reached has no row.
 
     Each round joins only the frontier with the edges, keeps what was not seen
     before, and is written; so each pair is expanded once, at its distance.
+    What was seen is held in few parts, whatever the number of rounds.
     """
     edges = edges.select("source", "target").distinct()
-    seen = staged(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).distinct())
-    frontier, k = seen, 0
+    frontier = staged(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).distinct())
+    seen, k = Parts(frontier), 0
     while limit is None or k < limit:
         k += 1
         step = frontier.select("start", F.col("node").alias("source")).join(edges, "source").select("start", F.col("target").alias("node")).distinct()
-        frontier, told = staged_and_told(step.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("distance")), F.count(F.lit(1)).alias("rows"))
+        frontier, told = staged_and_told(step.join(seen.whole(), ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("distance")), F.count(F.lit(1)).alias("rows"))
         if not told["rows"]:
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        seen.add(frontier)
+    return seen.whole()
 
 
 def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -164,12 +164,17 @@ def passage_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.concat(F.lit("passage-"), F.left(name, F.lit(24))).alias("passage_id"), "doc_id", F.col("passage_index").cast("long").alias("passage_index"), F.length("line").cast("long").alias("chars"))
 
 
-def _runtime_to_authored(source: DataFrame) -> DataFrame:
-    authored = F.split("text", "\n", -1)
-    runtime = F.split(F.replace("text", F.lit("the"), F.lit("THE")), "\n", -1)
-    strict = F.when(F.size(authored) == F.size(runtime), F.arrays_zip(authored.alias("a"), runtime.alias("r"))).otherwise(F.raise_error(F.lit("runtime and authored passages differ in number")))
-    rows = source.select(F.col("doc_id").alias("scene_id"), F.posexplode(strict).alias("passage_index", "p"))
-    return rows.select("scene_id", F.col("passage_index").cast("long").alias("passage_index"), F.length("p.a").cast("long").alias("authored_chars"), F.length("p.r").cast("long").alias("runtime_chars"))
+def aligned(runtime: DataFrame, authored: DataFrame) -> DataFrame:
+    """(scene_id, passage_index, runtime, authored): passages of a pool (scene_id, passage_index, text) with those of the index at the same place.
+
+    The two sides of a scene must have the same places; one that only one of
+    them has, or has twice, ends the query by an error that names the scene.
+    """
+    side = lambda df, name: df.groupBy("scene_id", "passage_index").agg(F.count(F.lit(1)).alias(f"n_{name}"), F.first("text").alias(name))
+    met = side(runtime, "runtime").join(side(authored, "authored"), ["scene_id", "passage_index"], "full")
+    fault = F.when(F.coalesce(F.col("n_runtime") + F.col("n_authored"), F.lit(0)) != 2, "passages that do not meet")
+    ok = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.lit(": "), F.col("scene_id").cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return met.where(ok).select("scene_id", "passage_index", "runtime", "authored")
 
 
 @query("""SELECT sha256(text) AS scene_id, min(length(text))::BIGINT AS chars, count(DISTINCT doc_id % 2) AS splits FROM documents GROUP BY sha256(text)""")
@@ -182,8 +187,11 @@ def scene_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT doc_id AS scene_id, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS authored FROM documents)
            SELECT scene_id, k::BIGINT AS passage_index, length(authored)::BIGINT AS authored_chars, length(replace(authored, 'the', 'THE'))::BIGINT AS runtime_chars FROM a""")
 def runtime_to_authored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runtime passages meet authored ones by their place; another number of them would be an error."""
-    return _runtime_to_authored(table(spark, sf_dir, "documents"))
+    """Texts as authored scenes, and the same with words replaced as what was shown; their passages meet by place."""
+    docs = table(spark, sf_dir, "documents")
+    lines = lambda text: docs.select(F.col("doc_id").alias("scene_id"), F.posexplode(F.split(text, "\n", -1)).alias("passage_index", "text"))
+    met = aligned(lines(F.replace("text", F.lit("the"), F.lit("THE"))), lines(F.col("text")))
+    return met.select("scene_id", F.col("passage_index").cast("long").alias("passage_index"), F.length("authored").cast("long").alias("authored_chars"), F.length("runtime").cast("long").alias("runtime_chars"))
 
 
 #: Queries of one block: their vectors are collected and every batch of rows is scored against all of them at once.

@@ -139,23 +139,20 @@ def greedy_pack(items: DataFrame, group_col: str, order_cols: list[str], cost_co
     cost below 0 is refused.
     """
     cost = F.col(cost_col).cast("long")
-    rest = [c for c in order_cols if c not in (group_col, id_col, cost_col)]
-    sound = items.select(group_col, id_col, *rest, *([cost_col] if cost_col in order_cols and cost_col not in rest else []), F.when(cost < 0, F.raise_error(F.lit("a cost below 0")).cast("long")).otherwise(cost).alias("__cost"))
-    place = F.row_number().over(Window.partitionBy(group_col, "__cost").orderBy(*order_cols))
-    entry = F.struct(*order_cols, F.col("__cost").alias("cost"), F.col(id_col).alias("name"))
-    kept = sound.where((F.col("__cost") >= 1) & (F.col("__cost") <= budget)).withColumn("__k", place).where(F.col("__k") <= F.floor(F.lit(budget) / F.col("__cost")))
-    listed = kept.groupBy(group_col).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    entry = F.struct(*order_cols, cost.alias("cost"), F.col(id_col).alias("name"))
+    place = F.row_number().over(Window.partitionBy(group_col, cost_col).orderBy(*order_cols))
+    kept = items.where((F.col(cost_col) >= 1) & (F.col(cost_col) <= budget)).select(group_col, entry.alias("x"), place.alias("k")).where(F.col("k") <= F.floor(F.lit(budget) / F.col("x.cost")))
+    listed = kept.groupBy(group_col).agg(F.array_sort(F.collect_list("x")).alias("items"))
     kind = items.schema[id_col].dataType.simpleString()
     start = F.struct(F.lit(0).cast("long").alias("used"), F.slice("items", 1, 0).alias("taken"))
     folded = F.aggregate("items", start, lambda s, x: F.when(s["used"] + x["cost"] <= budget, F.struct((s["used"] + x["cost"]).alias("used"), F.array_append(s["taken"], x).alias("taken"))).otherwise(s))
     packed = listed.select(group_col, folded.alias("f"))
-    free = sound.where("__cost = 0").groupBy(group_col).agg(F.collect_list(entry).alias("free"))
-    groups = items.select(group_col).distinct()
-    same = lambda a, b: F.col(f"{a}.{group_col}").eqNullSafe(F.col(f"{b}.{group_col}"))
-    joined = groups.alias("g").join(packed.alias("p"), same("g", "p"), "left").join(free.alias("z"), same("g", "z"), "left")
-    both = F.array_sort(F.concat(F.coalesce("p.f.taken", F.slice("z.free", 1, 0)), F.coalesce("z.free", F.slice("p.f.taken", 1, 0))))
-    ids = F.coalesce(F.transform(both, lambda x: x["name"]), F.array().cast(f"array<{kind}>"))
-    return joined.select(F.col(f"g.{group_col}").alias(group_col), F.coalesce("p.f.used", F.lit(0)).alias("used"), ids.alias("ids"))
+    refused = F.max(F.when(cost < 0, F.raise_error(F.lit("a cost below 0")).cast("long")))
+    groups = items.groupBy(group_col).agg(F.collect_list(F.when(cost == 0, entry)).alias("free"), refused.alias("none"))
+    joined = groups.alias("g").join(packed.alias("p"), F.col(f"g.{group_col}").eqNullSafe(F.col(f"p.{group_col}")), "left")
+    both = F.when(F.col("p.f").isNull(), F.col("g.free")).otherwise(F.concat("p.f.taken", "g.free"))
+    ids = F.transform(F.array_sort(both), lambda x: x["name"]).cast(f"array<{kind}>")
+    return joined.where("g.none IS NULL").select(F.col(f"g.{group_col}").alias(group_col), F.coalesce("p.f.used", F.lit(0)).alias("used"), ids.alias("ids"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),

@@ -17,10 +17,24 @@ def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster shares: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Only on one machine is a temporary folder made where neither is set; on a
+    cluster that would be a folder that executors do not share, so it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        base = f"file://{tempfile.mkdtemp(prefix='loresmith-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def shared_folder(spark: SparkSession, name: str = "stage") -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loresmith-stage"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def until_exit(spark: SparkSession, folder: str) -> str:

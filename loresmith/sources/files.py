@@ -90,6 +90,12 @@ def append_rows(rows: DataFrame, folder: str) -> None:
     rows.select(line.alias("value")).write.mode("append").text(folder)
 
 
+def write_rows(rows: DataFrame, folder: str) -> None:
+    """JSON lines in canonical writing in a folder that must not be there: the contexts that a training run used, say."""
+    line = canonical_line(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
+    rows.select(line.alias("value")).write.mode("errorifexists").text(folder)
+
+
 RESPONSE = "sample_id string, status string, response string, error string, finish_reason string, elapsed_seconds double, input_tokens long, output_tokens long"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loresmith import catalogue
-from loresmith.operators import assessment, contracts, datasets, graphs, ledger, retrieval, selection
+from loresmith.operators import assessment, contracts, datasets, graphs, ledger, prefix, retrieval, selection
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,7 +45,7 @@ def test_query_agrees_with_its_sql(spark, duck, name):
 
 
 def test_entry_has_rows(spark):
-    assert __spark_entry__.entry(spark).count() == 5
+    assert __spark_entry__.entry(spark).count() == 25
 
 
 def test_hidden_scene_is_never_ranked_and_ties_go_by_id(spark):
@@ -95,13 +95,16 @@ def test_tally_denominators(spark):
     assert r.accuracy is None and r.failed_rate == 1.0
 
 
-def test_bootstrap_needs_two_groups(spark):
+def test_bootstrap_needs_two_groups(spark, monkeypatch):
     rows = spark.createDataFrame([("a", float(i % 2)) for i in range(20)], "g string, v double")
     one = assessment.cluster_bootstrap(rows, "g", "v", repetitions=200).first()
     assert (one.groups, one.low, one["mean"]) == (1, None, 0.5)
     more = rows.unionByName(spark.createDataFrame([("b", 1.0)] * 20 + [("c", None)], "g string, v double"))
     first, second = (assessment.cluster_bootstrap(more, "g", "v", repetitions=200).first() for _ in range(2))
     assert first == second and first.groups == 3 and first.contributing == 2 and 0.5 <= first.low <= first["mean"] <= first.high <= 1
+    monkeypatch.setattr(assessment, "EXACT_GROUPS", 2)
+    many = assessment.cluster_bootstrap(more, "g", "v", repetitions=200).first()
+    assert many.groups == 3 and 0.5 <= many.low <= many.high <= 1
     exact = assessment.bootstrap_exact({"a": [0.0, 1.0], "b": [1.0], "c": [None]}, 200)
     assert exact["groups"] == 3 and exact["interval"][0] <= exact["interval"][1] and assessment.bootstrap_exact({"a": [1.0]}, 50)["interval"] is None
 
@@ -168,6 +171,94 @@ def test_greedy_packing_against_a_loop(spark, seed):
     assert (got.used, got.ids) == (used, ids)
 
 
+def test_greedy_packing_keeps_groups_and_takes_what_is_free(spark):
+    rows = spark.createDataFrame([("g", 1, 0), ("g", 2, 7), ("g", 3, 5), ("g", 4, 0), ("h", 5, 99), ("n", 6, None), (None, 7, 0)], "g string, i long, n long")
+    assert {r.g: (r.used, r.ids) for r in selection.greedy_pack(rows, "g", ["i"], "n", "i", 10).collect()} == {"g": (7, [1, 2, 4]), "h": (0, []), "n": (0, []), None: (0, [7])}
+    with pytest.raises(Exception, match="below 0"):
+        selection.greedy_pack(spark.createDataFrame([("g", 1, -1)], "g string, i long, n long"), "g", ["i"], "n", "i", 10).collect()
+
+
+def test_a_run_stops_at_the_first_request_beyond_its_budget(spark):
+    rows = [("u", 1, 1, 40, 10), ("u", 2, 1, 40, None), ("u", 3, 2, 60, 5), ("u", 4, 2, 1, 1), ("v", 5, 1, 100, 100), ("v", 6, 3, 1, None), ("w", 7, 1, 101, 0)]
+    df = spark.createDataFrame(rows, "user string, request_id long, day long, reserved long, cost long")
+    for part in (None, F.col("day")):
+        got = {r.request_id: (r.spent_before, r.admitted) for r in ledger.admitted(df, ["user"], ["request_id"], 100, part).collect()}
+        assert got == {1: (0, True), 2: (10, True), 3: (50, False), 4: (50, False), 5: (0, True), 6: (100, False), 7: (0, False)}
+    with pytest.raises(ValueError, match="result"):
+        ledger.with_results(df.select("request_id", "reserved"), spark.createDataFrame([(99, 1, "ok")], "request_id long, cost long, status string"))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_running_totals_by_parts(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None]), i, i // 7, rng.choice([None, 1, 2, 5])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, i long, p long, v long")
+    for inclusive in (True, False):
+        want, at = {}, {}
+        for k, i, _, v in rows:
+            want[i] = at.get(k, 0) + (v or 0) * inclusive
+            at[k] = at.get(k, 0) + (v or 0)
+        for part in (None, F.col("p")):
+            assert {r.i: r.t for r in prefix.running_sums(df, ["k"], ["i"], {"t": F.col("v")}, part, inclusive).collect()} == want
+
+
+def test_what_must_be_refused(spark):
+    trials = spark.createDataFrame([("t1", "h1"), ("t2", "h2")], "trial_id string, trial_sha256 string")
+    judged = lambda *rows: assessment.joined_judgments(spark.createDataFrame(rows, "reviewer string, trial_id string, trial_sha256 string"), trials, ["reviewer"]).collect()
+    assert len(judged(("a", "t1", "h1"), ("b", "t1", "h1"))) == 2
+    for rows, told in (([("a", "t9", "h1")], "unknown trial: t9"), ([("a", "t1", "h1")] * 2, "judged twice: t1"), ([("a", "t2", "h1")], "hash differs: t2")):
+        with pytest.raises(Exception, match=told):
+            judged(*rows)
+    plan = spark.createDataFrame([(0, "q"), (1, "r")], "position int, query string")
+    assert assessment.met_by_position(plan, plan, plan, ["query"]).count() == 2
+    for other in (plan.limit(1), plan.withColumn("query", F.lit("z")), plan.unionByName(plan)):
+        with pytest.raises(Exception, match="position"):
+            assessment.met_by_position(plan, plan, other, ["query"]).collect()
+    for ids in ([1, 1], [9]):
+        with pytest.raises(ValueError):
+            selection.selected(spark.range(3), ids, "id")
+    files = lambda *rows: assessment.merged_reviews(spark.createDataFrame(rows, "reviewer string, file string, trial_id string, model string, prompt_sha256 string"), ["model", "prompt_sha256"]).count()
+    assert files(("a", "1", "t1", "m", "p"), ("a", "2", "t2", "m", "q")) == 2
+    for rows, told in (([("a", "1", "t1", "m", "p"), ("a", "2", "t2", "n", "p")], "differ"), ([("a", "1", "t1", "m", "p"), ("a", "2", "t1", "m", "p")], "twice")):
+        with pytest.raises(Exception, match=told):
+            files(*rows)
+    samples = spark.createDataFrame([("c", 1, "i", "x", "t1"), ("c", 2, "i", "x", "t2")], "condition string, sample_id long, identity string, context string, target string")
+    donors = lambda *rows: assessment.controls(samples, spark.createDataFrame(rows, "sample_id long, donor_id long")).collect()
+    assert {(r.sample_id, r.control, r.response) for r in donors((1, 2), (2, 1))} == {(1, "identical", "t1"), (2, "identical", "t2"), (1, "wrong-context", "t2"), (2, "wrong-context", "t1")}
+    for bad in ((1, 1), (1, 7)):
+        with pytest.raises(Exception, match="donor"):
+            donors(bad)
+    one = spark.createDataFrame([(1, 0, "a")], "scene_id long, passage_index int, text string")
+    with pytest.raises(Exception, match="do not meet"):
+        retrieval.aligned(one, one.withColumn("passage_index", F.lit(1))).collect()
+
+
+def test_judgments_may_not_say_what_the_organiser_says(spark):
+    base = '{"trial_id": "t", "trial_sha256": "h", "status": "ok", "choice": "A", "confidence": 0.5, "reason": "r", "recognized_source": %s%s}'
+    rows = [(base % ("true", ""), None), (base % ("1", ""), "recognition"), (base % ('"true"', ""), "recognition"), (base % ("false", ', "condition": "x"'), "field of the organiser")]
+    df = spark.createDataFrame(rows, "raw string, want string").withColumn("p", F.from_json("raw", assessment.JUDGMENT)).select("raw", "want", "p.*")
+    for r in df.select("want", assessment.judgment_fault(F.col("raw")).alias("fault")).collect():
+        assert r.fault == r.want
+
+
+def test_pairs_count_over_what_was_to_be_covered(spark):
+    values = spark.createDataFrame([("r", 1, "a", 0), ("r", 1, "b", 1), ("r", 2, "a", 1), ("r", 2, "b", 1), ("r", 3, "a", 1), ("r", 9, "a", 1)], "reviewer string, sample_id long, condition string, value int")
+    universe = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "sample_id long")
+    r = assessment.paired_differences(values, universe, ("a", "b"), ["reviewer"]).first()
+    assert (r.complete, r.incomplete, r.difference) == (2, 2, 0.5)
+
+
+def test_eligible_references(spark):
+    columns = "scene_id long, mission string, path string, line int, scenario_group string, conversation_id string, split string, owner_split string"
+    rows = [(1, "n", "p", 5, None, "c", "train", None), (2, "n", "q", 5, None, "c", "train", None), (3, "m", "p", 1, None, "c", "train", None), (4, "up", "p", 9, None, "c", "train", None), (5, "n", "p", 7, "g", "c", "train", None), (6, "n", "p", 8, None, "c", "train", None), (7, "n", "p", 10, None, "c", "test", None), (8, "n", "p", 11, None, "c", None, "test")]
+    target = spark.createDataFrame([("m", "p", 1, "g", "target"), ("up", "p", 2, None, "ancestor")], "mission string, path string, line int, scenario_group string, role string")
+    seen = spark.createDataFrame([("p", 8)], "path string, line int")
+    got = {r.scene_id: r.fault for r in contracts.eligible_references(spark.createDataFrame(rows, columns), target, seen, "validation").collect()}
+    assert got == {1: None, 2: "other file", 3: "target", 4: "ancestor", 5: "same scenario", 6: "shown", 7: "later split", 8: "later split"}
+
+
 def test_costs(spark):
     one = spark.range(1)
     cost = ledger.actual_cost(F.lit(1000), F.lit(100), F.lit(200), 2.0, 0.2, 10.0)
@@ -181,10 +272,16 @@ def test_sides_differ_by_one_at_most(spark):
     assert got == {(1, "A"): 35, (1, "B"): 35, (0, "A"): 16, (0, "B"): 15}
 
 
-def test_needles_in_texts(spark):
+def test_needles_in_texts(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a stone lamp"), (2, None), (3, "lam"), (4, "")], "doc_id long, text string")
-    got = {tuple(r) for r in contracts.contained(docs, [(1, "lamp"), (2, "stone"), (3, "lamp"), (4, "river")]).collect()}
-    assert got == {(1, 1), (1, 2), (1, 3)} and contracts.contained(docs, []).count() == 0
+    needles = spark.createDataFrame([(1, "lamp"), (2, "stone"), (3, "lamp"), (4, "river"), (5, ""), (6, None)], "item_id long, text string")
+    for _ in range(2):  # by an automaton, then by hashes of places and an automaton for the short ones
+        got = {tuple(r) for r in contracts.contained(docs, needles).collect()}
+        assert got == {(1, 1), (1, 2), (1, 3)} and contracts.contained(docs, needles.limit(0)).count() == 0
+        monkeypatch.setattr(contracts, "NEEDLE_BYTES", 3)
+        monkeypatch.setattr(contracts, "ANCHOR", 5)
+    targets = spark.createDataFrame([(1, "one\n\n  two \n\n\n\n"), (2, None), (3, "\u00a0")], "item_id long, text string")
+    assert {tuple(r) for r in contracts.paragraphs(targets, "item_id").collect()} == {(1, "one"), (1, "two")}
 
 
 def test_faults_of_a_dataset(spark):
@@ -232,7 +329,7 @@ def test_graph_queries_over_all_rows(spark, duck):
     import hashlib
 
     lines = duck.sql("SELECT l_orderkey, l_partkey + (1::BIGINT << 40) FROM lineitem").fetchall()
-    got = {r.node: r.component for r in catalogue.QUERIES["connected_groups_all"](spark, DATA).collect()}
+    got = {r.node: r.component for r in catalogue.QUERIES["connected_groups"](spark, DATA).collect()}
     assert got == {k: v for k, v in _least_of_groups(lines).items() if k < 1 << 40}
     parts = [p for (p,) in duck.sql("SELECT p_partkey FROM part").fetchall()]
     want = {}
@@ -240,12 +337,12 @@ def test_graph_queries_over_all_rows(spark, duck):
         if p % 3:
             share = int(hashlib.sha256(str(p).encode()).hexdigest()[:8], 16) % 10
             want.setdefault(chain, set()).add("train" if share < 8 else "validation" if share == 8 else "test")
-    got = {r.chain: r.splits for r in catalogue.QUERIES["chain_splits_all"](spark, DATA).collect()}
+    got = {r.chain: r.splits for r in catalogue.QUERIES["chain_splits"](spark, DATA).collect()}
     assert got == {k: len(v) for k, v in want.items() if len(v) > 1}
-    starts = {r.start for r in catalogue.QUERIES["bfs_distance_all"](spark, DATA).select("start").distinct().collect()}
+    starts = {r.start for r in catalogue.QUERIES["bfs_distance"](spark, DATA).select("start").distinct().collect()}
     assert starts == set(parts)
     orders, customers = duck.sql("SELECT count(*), count(DISTINCT o_custkey) FROM orders").fetchall()[0]
-    assert catalogue.QUERIES["distance_band_all"](spark, DATA).count() == orders + customers
+    assert catalogue.QUERIES["distance_band"](spark, DATA).count() == orders + customers
 
 
 @pytest.mark.parametrize("by_scene", [False, True])
