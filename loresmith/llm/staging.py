@@ -6,27 +6,20 @@ back, never by local checkpoints: a lost executor takes nothing with it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import until_exit
+from ..operators.shared import shared_base, until_exit
 
 #: A side is broadcast only when its counted rows times its row width stay below this many bytes.
 BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        base = held or f"file://{tempfile.mkdtemp(prefix='loresmith-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/loresmith-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares; a temporary one only on one machine (tests)."""
+    return f"{shared_base(spark)}/loresmith-{uuid.uuid4().hex}"
 
 
 #: Bytes of an Arrow batch that goes to a worker, where the session still has Spark's default of 64 MB.
