@@ -169,7 +169,11 @@ def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: SubwordModel, least: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is ``least`` or more, in all their columns; nothing is joined or shuffled."""
+    """The rows of ``docs`` whose score is ``least`` or more, in all their columns; nothing is joined or shuffled.
+
+    Null text counts as empty and has the bias alone; ids play no part, so null
+    and repeated ones need no rule; an empty table stays empty.
+    """
     shared, at = _shared(docs, model), docs.columns.index(text_col)
 
     @frugal
