@@ -34,7 +34,9 @@ from .word_ids import word_ids
 #: Rounds of multiplicative weights, how strongly coverage moves a price, and by what part a pattern may miss the best price.
 ROUNDS, STEP, SLACK = 8, 0.5, 0.002
 #: Most steps of column generation's arithmetic: a pivot takes about 4 m**2 of them for m lengths, a table 2 m * capacity.
-WORK = 6_000_000_000
+#: With more than ``MOST_LENGTHS`` these do not reach the optimum, and its matrices would fill a driver; then the
+#: multiplicative weights go on instead, for as many further rounds.
+WORK, MOST_LENGTHS, FURTHER_ROUNDS = 6_000_000_000, 700, 12
 #: Rows of one length that are ranked by one task.
 PART_ROWS = 250_000
 
@@ -274,8 +276,12 @@ def packing_plan(histogram: Iterable[tuple[int, int]], capacity: int, rounds: in
     if size(plan) > whole():
         plan = min(plan, best_fit(left, capacity), key=size)
     if size(plan) > whole():
-        optimum, bound = column_generation(lengths, counts, capacity, prices, bound)
-        plan = min(plan, *(rounded(by_use(optimum), left, capacity, carry) for carry in (True, False)), key=size)
+        if len(lengths) <= MOST_LENGTHS:
+            more, bound = column_generation(lengths, counts, capacity, prices, bound)
+        else:
+            more, worth, _ = fractional(lengths, counts, capacity, FURTHER_ROUNDS, seed=8)
+            bound = max(bound, worth)
+        plan = min(plan, *(rounded(by_use(more), left, capacity, carry) for carry in (True, False)), key=size)
     return Plan(plan, whole())
 
 
