@@ -37,8 +37,8 @@ ROUNDS, STEP, SLACK = 8, 0.5, 0.002
 #: With more than ``MOST_LENGTHS`` these do not reach the optimum, and its matrices would fill a driver; then the
 #: multiplicative weights go on instead, for as many further rounds.
 WORK, MOST_LENGTHS, FURTHER_ROUNDS = 6_000_000_000, 700, 12
-#: Rows of one length that are ranked by one task.
-PART_ROWS = 250_000
+#: Rows of one length that are ranked by one task: that share of all rows, but not below that number.
+PARTS, LEAST_PART = 4096, 500
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
 
@@ -299,9 +299,10 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = 4
     size = F.col(length_col).cast("long")
     histogram = {r["len"]: r["n"] for r in pieces.where(real).groupBy(size.alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the capacity
     # where the rows of one length stand does not matter, so those of a frequent one are dealt over parts and numbered in each
-    many = {k: -(-n // PART_ROWS) for k, n in histogram.items() if n > PART_ROWS}
+    most = max(LEAST_PART, -(-sum(histogram.values()) // PARTS))
+    many = {k: -(-n // most) for k, n in histogram.items() if n > most}
     salt = F.pmod(F.xxhash64(*key_cols), F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[size], F.lit(1))) if many else F.lit(0).cast("long")
-    parts = pieces.where(real & size.isin(list(many))).groupBy(size.alias("len"), salt.alias("salt")).agg(F.count(F.lit(1)).alias("n")).collect() if many else []
+    parts = pieces.where(real & size.isin(list(many))).groupBy(size.alias("len"), salt.alias("salt")).agg(F.count(F.lit(1)).alias("n")).collect() if many else []  # at most PARTS and one more for each length
     first_rank, seen = {}, defaultdict(int)
     for r in sorted(parts, key=lambda r: (r["len"], r["salt"])):
         first_rank[r["len"] << 32 | r["salt"]] = seen[r["len"]]
