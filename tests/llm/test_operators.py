@@ -4,6 +4,7 @@ import base64
 import functools
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import time
@@ -152,11 +153,12 @@ def test_predictive_probabilities_sum_to_one():
                 t.customers[level][c], t.tables[level][c] = customers, tables
 
     refill(rows)
-    for k in range(3):
+    for k in range(6):
         state.seatings = [hpylm.sweep(state, state.seatings[-1], t, np.random.default_rng(k))]
         refill(hpylm._totals(state, state.seatings[-1]))
         counts = [x for x in state.levels([y.astype(float) for y in state.seatings[-1]])]
         assert all((n >= np.minimum(c, 1)).all() and (n <= c).all() for c, n, _, _ in counts)
+    assert len(state.trace) == 6 and min(state.trace[3:]) > state.trace[0] - 0.02 * abs(state.trace[0])
     every = np.full(41, 6, np.uint32)
     unknown = np.append(words, np.uint64(2**63))
     block = hpylm.squeeze(unknown, every, np.tile(np.array([0, 257, 514, 771, 1028, 9999], np.uint16), 41), np.zeros(41 * 6, np.uint32))
@@ -164,6 +166,55 @@ def test_predictive_probabilities_sum_to_one():
     assert np.allclose((10.0 ** logs.astype(float)).reshape(41, 6).sum(axis=0), 1, atol=1e-4)
 
 
+def test_tables_are_drawn_from_the_posterior_of_all_seatings(monkeypatch):
+    """One restaurant of three dishes: a long chain of Gibbs draws against the weights of all partitions of each dish's customers, enumerated."""
+
+    def partitions(n):
+        if not n:
+            yield ()
+            return
+        for rest in partitions(n - 1):
+            for k in range(len(rest)):
+                yield (*rest[:k], rest[k] + 1, *rest[k + 1 :])
+            yield (*rest, 1)
+
+    d, customers, parent = 0.4, np.array([4.0, 3.0, 1.0]), np.array([0.2, 0.05, 0.5])
+    weights = Counter()
+    ways = [[(len(x), math.prod(math.prod(j - d for j in range(1, n)) for n in x)) for x in partitions(int(c))] for c in customers]
+    for picked in itertools.product(*ways):
+        tables = tuple(t for t, _ in picked)
+        opened = math.prod(hpylm.STRENGTH + d * k for k in range(sum(tables)))
+        weights[tables] += opened * math.prod(w * p**t for (t, w), p in zip(picked, parent, strict=True))
+    total = sum(weights.values())
+    rng, state, seen = np.random.default_rng(1), np.ones(3, np.int64), Counter()
+    for k in range(30000):
+        for i in range(3):
+            state[i] = hpylm.seat_exactly(customers[i : i + 1], np.array([float(state.sum() - state[i])]), parent[i : i + 1], d, rng)[0]
+        seen[tuple(state.tolist())] += 1
+    assert set(seen) <= set(weights)
+    assert max(abs(seen[t] / 30000 - w / total) for t, w in weights.items()) < 0.012
+    # the numbers themselves: all ways to sit at t tables
+    for c in (1, 2, 5):
+        by = Counter()
+        for x in partitions(c):
+            by[len(x)] += math.prod(math.prod(j - d for j in range(1, n)) for n in x)
+        assert all(abs(math.exp(hpylm.stirling(d)[c, t]) - w) < 1e-9 * w for t, w in by.items())
+
+
+def test_steps_on_many_customers_end_where_exact_draws_do():
+    n, d = 3000, 0.6
+    customers, elsewhere, parent = np.full(n, 60.0), np.full(n, 300.0), np.full(n, 0.01)
+    exact = hpylm.seat_exactly(customers, elsewhere, parent, d, np.random.default_rng(2))
+    for first in (1.0, 40.0):
+        steps = hpylm.seat_by_steps(customers, np.full(n, first), elsewhere, parent, d, np.random.default_rng(3), 120)
+        assert abs(steps.mean() - exact.mean()) < 0.05 * exact.mean() and abs(steps.std() - exact.std()) < 0.1 * exact.std()
+    tables = np.arange(2, 60)
+    for d in (0.2, 0.5, 0.9):
+        off = hpylm.log_ways(np.full(58, 64.0), tables.astype(float), d) - hpylm.stirling(d)[64, 2:60]
+        assert np.ptp(off) < 0.2 and np.ptp(off[5:]) < 0.06
+    assert np.allclose(hpylm.log_gamma(np.array([0.5, 1.0, 7.3, 400.0])), [math.lgamma(x) for x in (0.5, 1.0, 7.3, 400.0)])
+
+
 # 3 bit packing
 
 
@@ -264,6 +315,31 @@ def test_allocation_rules():
     assert counts.tolist() == [2, 0, 1] and crossing.tolist() == [1, 1, 0]
 
 
+def test_tokens_of_given_fields(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coder, _ = token_spans.encoder(path, pattern)
+    text = "Title: été à la lampe | body of words, 123456 | tail"
+    first, second = text.index("été"), text.index("body")
+    spans = [(second, text.index(" | tail")), (first, text.index(" | body")), (3, 3)]
+    df = spark.createDataFrame([(1, text, spans), (2, text, None), (3, None, []), (4, "ab", [(0, 2)])], "doc_id long, text string, fields array<struct<start:int,end:int>>")
+    bounds = np.r_[0, np.cumsum([len(coder.decode_single_token_bytes(x)) for x in coder.encode_ordinary(text)])]
+    place = lambda k: len(text[:k].encode())
+    for rule in token_spans.RULES:
+        got = {(r.doc_id, r.section): (r.char_start, r.char_end, r.n_tokens) for r in token_spans.section_tokens(df, path, pattern, rule, spans_col="fields").collect()}
+        want = Counter()
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            held = {k: min(b, place(e)) - max(a, place(s)) for k, (s, e) in enumerate(spans) if min(b, place(e)) > max(a, place(s))}
+            inside = lambda at: next((k for k, (s, e) in enumerate(spans) if place(s) <= at < place(e)), -1)
+            rest = b - a - sum(held.values())
+            best = max(held, key=held.get) if held and max(held.values()) > rest else -1 if rest else max(held, key=held.get)
+            want[inside(a) if rule == "first" else inside(b - 1) if rule == "last" else best] += 1
+        assert {k: got[1, k][2] for k in (0, 1, 2, -1)} == {k: want[k] for k in (0, 1, 2, -1)}
+        assert got[1, 0][:2] == spans[0] and got[2, -1] == (0, len(text), len(coder.encode_ordinary(text))) and got[4, 0][:2] == (0, 2) and (4, -1) not in got and (3, 0) not in got
+    for bad in ([(0, 3), (2, 4)], [(0, 99)], [(2, 1)]):
+        with pytest.raises(ValueError):
+            token_spans.field_sections(np.frombuffer(b"abcdef", np.uint8), bad)
+
+
 # 5 media
 
 
@@ -520,8 +596,16 @@ def test_plans_of_small_instances_against_exact_optima():
     assert over[0] >= 78
 
 
+def test_many_lengths_stay_small_on_the_driver(monkeypatch):
+    monkeypatch.setattr(packing, "column_generation", None)
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(30, 2000, 3000)
+    plan = packing.packing_plan(Counter((lengths * 2 + 1).tolist()).items(), 4096)
+    assert plan.bound <= plan.sequences <= plan.bound * 1.01 + 1
+
+
 def test_parts_of_a_frequent_length(spark, monkeypatch):
-    monkeypatch.setattr(packing, "PART_ROWS", 10)
+    monkeypatch.setattr(packing, "LEAST_PART", 10)
     df = spark.createDataFrame([(k, 0, 5 if k % 3 else 2, 9, 9) for k in range(120)], "doc_id long, piece int, length long, offset long, sequence_id long")
     found = packing.pack_pieces(df, "length", 10).collect()
     assert len(found) == 120 and whole(found, 10) == 48 and found[0].__fields__ == ["doc_id", "piece", "length", "sequence_id", "offset"]
