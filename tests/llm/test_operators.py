@@ -201,17 +201,24 @@ def test_tables_are_drawn_from_the_posterior_of_all_seatings(monkeypatch):
         assert all(abs(math.exp(hpylm.stirling(d)[c, t]) - w) < 1e-9 * w for t, w in by.items())
 
 
-def test_steps_on_many_customers_end_where_exact_draws_do():
+def test_steps_on_many_customers_end_where_exact_draws_do(monkeypatch):
     n, d = 3000, 0.6
     customers, elsewhere, parent = np.full(n, 60.0), np.full(n, 300.0), np.full(n, 0.01)
     exact = hpylm.seat_exactly(customers, elsewhere, parent, d, np.random.default_rng(2))
     for first in (1.0, 40.0):
         steps = hpylm.seat_by_steps(customers, np.full(n, first), elsewhere, parent, d, np.random.default_rng(3), 120)
         assert abs(steps.mean() - exact.mean()) < 0.05 * exact.mean() and abs(steps.std() - exact.std()) < 0.1 * exact.std()
-    tables = np.arange(2, 60)
-    for d in (0.2, 0.5, 0.9):
-        off = hpylm.log_ways(np.full(58, 64.0), tables.astype(float), d) - hpylm.stirling(d)[64, 2:60]
-        assert np.ptp(off) < 0.2 and np.ptp(off[5:]) < 0.06
+    few = hpylm.seat_by_steps(np.full(n, 60.0), np.full(n, 3.0), np.full(n, 5.0), np.full(n, 1e-4), 0.9, np.random.default_rng(4), 90)
+    exact = hpylm.seat_exactly(np.full(n, 60.0), np.full(n, 5.0), np.full(n, 1e-4), 0.9, np.random.default_rng(5))
+    assert abs(few.mean() - exact.mean()) < 0.05 * exact.mean()
+    monkeypatch.setattr(hpylm, "EXACT", 400)
+    hpylm.stirling.cache_clear()
+    for c in (65, 400):
+        for d in (0.2, 0.5, 0.7, 0.9):
+            tables = np.arange(1.0, c - 4)
+            off = hpylm.Ways(np.full(len(tables), float(c)), d)(tables) - hpylm.stirling(d)[c, 1 : c - 4]
+            assert np.ptp(off) < 0.25 and np.ptp(off[: int(hpylm.FEW * c**d)]) < 1e-3
+    hpylm.stirling.cache_clear()
     assert np.allclose(hpylm.log_gamma(np.array([0.5, 1.0, 7.3, 400.0])), [math.lgamma(x) for x in (0.5, 1.0, 7.3, 400.0)])
 
 
