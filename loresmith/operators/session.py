@@ -190,7 +190,7 @@ def replay(session: RetrievalSession, turns: Sequence[Sequence[dict]], fits: Cal
     if not fits([]):
         raise ValueError("the conversation exceeds the input budget")
     for calls in turns:
-        results: list[dict] = [{"error": "Tool result exceeds the remaining input budget"} for _ in calls]
+        results: list[dict] = [{"error": "the result does not fit what is left of the budget"} for _ in calls]
         for k, call in enumerate(calls):
             try:
                 arguments = call["arguments"]

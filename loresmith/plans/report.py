@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.assessment import tally
 from ..sources.files import create_json, create_text
 
-# Fixed value: what a report says of itself.
-CAUTION = "Judge calibration is not established. Lower detection is not automatically better quality. Chance performance does not establish indistinguishability or equivalence."
+CAUTION = "The judges are not calibrated. Fewer detections are not better writing in themselves, and results at chance do not show that texts cannot be told apart."
 
 
 def write_pack(trials: DataFrame, coverage: DataFrame, folder: str) -> None:
@@ -69,8 +68,8 @@ def full_report(parts: Mapping[str, DataFrame], provenance: Mapping | None = Non
     unknown = set(parts) - {name for name, *_ in SECTIONS}
     if unknown:
         raise ValueError(f"no such part of a report: {sorted(unknown)}")
-    whole: dict = {"schema_version": 1, "status": "exploratory; judge calibration not established", "provenance": dict(provenance or {})}
-    text = ["# Exploratory authenticity report", "", CAUTION]
+    whole: dict = {"schema_version": 1, "status": "exploratory", "provenance": dict(provenance or {})}
+    text = ["# Exploratory report", "", CAUTION]
     for name, title, keys in SECTIONS:
         if name in parts:
             df = parts[name]
