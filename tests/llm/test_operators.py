@@ -222,6 +222,73 @@ def test_steps_on_many_customers_end_where_exact_draws_do(monkeypatch):
     assert np.allclose(hpylm.log_gamma(np.array([0.5, 1.0, 7.3, 400.0])), [math.lgamma(x) for x in (0.5, 1.0, 7.3, 400.0)])
 
 
+def test_contexts_are_the_whole_words_before(spark):
+    """Words of the same ending predict different words, and so do two words before of which the last is the same."""
+    texts = ["the lathe cat", "a bathe dog", "red mark stop", "blue mark start"] * 60
+    asked = ["lathe cat", "lathe dog", "bathe dog", "bathe cat", "red mark stop", "red mark start", "blue mark start", "blue mark stop"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *asked])], "doc_id long, text string")
+    found = {r.doc_id - len(texts): r.score for r in hpylm.score_texts(rows, F.col("doc_id") >= len(texts)).collect()}
+    assert all(found[k] > found[k + 1] + 0.5 for k in range(0, len(asked), 2))
+
+
+def test_contexts_of_tokens():
+    texts = ["the lathe cat", "", "The\tlathe  CAT sat", "étoile été", "the lathe dog", " "]
+    data, bounds = textkernel.string_bytes(pa.array(texts))
+    token, each = hpylm.text_tokens(data, bounds)
+    distinct, number = np.unique(token, return_inverse=True)
+    end = int(np.searchsorted(distinct, hpylm.END))
+    earlier, before = hpylm.contexts(number, each, end)
+    tokens = [tokens_of(t) for t in texts]
+    names = dict(zip(number.tolist(), [t for x in tokens for t in x], strict=True))
+    want = [(*own[k : k + 2], own[k + 2]) for x in tokens for own in [[None, None, *x]] for k in range(len(x))]
+    assert [tuple(names[int(x)] for x in y) for y in zip(earlier, before, number, strict=True)] == want
+
+
+def test_buckets_that_share_the_root_hold_one_model():
+    rng = np.random.default_rng(4)
+    words = np.sort(rng.integers(1, 2**63, 13).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    train = (rng.random((3000, 3)) ** 2 * 12).astype(np.int64)
+    asked = np.array(list(itertools.product(range(5), range(12), range(13))))
+    blocks = []
+    for b in range(2):
+        own = [x[x[:, 1] % 2 == b] for x in (train, asked)]
+        three = np.concatenate(own).astype(np.uint32).T
+        blocks.append(hpylm.gather([(7, hpylm.squeeze(words, *three, np.arange(2, dtype=np.uint32), np.array([len(x) for x in own], np.uint32), np.array([0, 1], np.uint8)))]))
+    states = [hpylm.build([data], shared=True) for data, _ in blocks]
+    send = lambda first=False: {r: [(b, m["data"]) for b, s in enumerate(states) for m in hpylm.to_root(s, 3, first) if m["bucket"] == r] for r in range(3)}
+    root = {r: hpylm.root_first(sent) for r, sent in send(True).items() if sent}
+
+    def told():
+        rows = {r: hpylm.root_row(r, data) for r, data in root.items()}
+        for b, s in enumerate(states):
+            hpylm.from_root(s, [(r, m["data"]) for r, x in rows.items() for m in x[3] if m["bucket"] == b])
+        customers, tables, vocabulary, _, tokens, *_ = np.sum([x[4] for x in rows.values()], axis=0)
+        return hpylm.Totals([np.array([customers])], [np.array([tables])], tokens=int(tokens), vocabulary=int(vocabulary))
+
+    t = told()
+    assert t.tokens == 3000 and t.vocabulary == len(np.unique(train[:, 2]))
+    for k in range(6):
+        for s in states:
+            s.seatings = [hpylm.sweep(s, s.seatings[-1], s.within(s.seatings[-1], t), np.random.default_rng(k))]
+        root = {r: hpylm.root_again(root[r], sent, t, np.random.default_rng(k)) for r, sent in send().items() if sent}
+        t = told()
+        assert t.customers[0][0] == sum(s.seatings[-1][hpylm.LAST].sum() for s in states) and t.tokens == 3000
+    for s, (data, ask) in zip(states, blocks, strict=True):
+        s = hpylm.State.load(s.dump())
+        logs = hpylm.answer(s, [s.within(s.seatings[-1], t)], data)
+        distinct, per_word, context, n, _ = hpylm.expand(data)
+        count, score = hpylm.expand(logs)
+        assert count.tolist() == [int((words[train[:, 2]] == w).sum()) for w in distinct]
+        every = np.bincount(context, 10.0 ** score.astype(float))
+        whole = np.bincount(context) == 13
+        assert whole.sum() == 30 and np.allclose(every[whole], 1, atol=1e-4)
+        (chunk, sums), = hpylm.sums_by_document(data, ask, logs, t)
+        row, known, base, total = hpylm.expand(sums)
+        assert chunk == 7 and row.tolist() == [0, 1] and known[0] == n.sum() and np.isclose(total[0], score.astype(float) @ n)
+    with pytest.raises(ValueError, match="misses messages"):
+        hpylm.root_again(next(iter(root.values())), [], t, rng)
+
+
 # 3 bit packing
 
 
