@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -289,6 +290,95 @@ def test_buckets_that_share_the_root_hold_one_model():
         hpylm.root_again(next(iter(root.values())), [], t, rng)
 
 
+def test_buckets_that_share_frequent_words_hold_one_model():
+    """Contexts of a word that is half of all words before are dealt by both words; its dishes stand with the root's."""
+    rng = np.random.default_rng(6)
+    words = np.sort(rng.integers(1, 2**63, 13).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    train = (rng.random((3000, 3)) ** 2 * 12).astype(np.int64)
+    train[rng.random(3000) < 0.5, 1] = 3
+    asked = np.array(list(itertools.product(range(5), range(12), range(13))))
+    none, split, likelihood = words[:0], words[[3, 7]], {}
+    share = lambda split: np.bincount(hpylm.places(words, *train.T[:2], 4, split)).max() / len(train)
+    assert share(none) > 0.5 and share(split) < 0.5
+    for split in (none, split):
+        blocks, n = [], len(split)
+        for b in range(4):
+            own = [x[hpylm.places(words, x[:, 0], x[:, 1], 4, split) == b] for x in (train, asked)]
+            if sum(map(len, own)):
+                three = np.concatenate(own).astype(np.uint32).T
+                lengths = np.array([len(x) for x in own if len(x)], np.uint32)
+                blocks.append(hpylm.gather([(7, hpylm.squeeze(words, *three, np.arange(len(lengths), dtype=np.uint32), lengths, np.array([0, 1], np.uint8)[[len(x) > 0 for x in own]]))], split))
+        states = [hpylm.build([data], shared=True) for data, _ in blocks]
+        send = lambda first=False: {r: [(b, m["data"]) for b, s in enumerate(states) for m in hpylm.to_root(s, 3, first) if m["bucket"] == r] for r in range(3)}  # noqa: B023, E731
+        root = {r: hpylm.root_first(sent) for r, sent in send(True).items() if sent}
+
+        def told():
+            rows = {r: hpylm.root_row(r, data, n) for r, data in root.items()}  # noqa: B023
+            for b, s in enumerate(states):  # noqa: B023
+                hpylm.from_root(s, [(r, m["data"]) for r, x in rows.items() for m in x[3] if m["bucket"] == b])
+            customers, tables, vocabulary, _, tokens, *more = np.sum([x[4] for x in rows.values()], axis=0)
+            shared = np.array(more[4:]).reshape(2, -1)
+            return hpylm.Totals([np.array([customers]), shared[0]], [np.array([tables]), shared[1]], tokens=int(tokens), vocabulary=int(vocabulary))
+
+        t = told()
+        assert t.tokens == 3000 and t.vocabulary == len(np.unique(train[:, 2]))
+        for k in range(8):
+            for i, s in enumerate(states):
+                s.seatings = [hpylm.sweep(s, s.seatings[-1], s.within(s.seatings[-1], t), np.random.default_rng([k, i]))]
+            root = {r: hpylm.root_again(root[r], sent, t, np.random.default_rng(k)) for r, sent in send().items() if sent}
+            t = told()
+            for j in range(n):
+                mine = [(s, s.split[s.parent[s.context]] == j + 1) for s in states]
+                assert len(mine) > 1 and t.customers[1][j] == sum(int(s.seatings[-1][hpylm.TWO][own].sum()) for s, own in mine) >= t.tables[1][j] > 0
+        likelihood[n], whole = sum(s.trace[-1] for s in states), 0
+        for s, (data, _) in zip(states, blocks, strict=True):
+            s = hpylm.State.load(s.dump())
+            count, score = hpylm.expand(hpylm.answer(s, [s.within(s.seatings[-1], t)], data))
+            distinct, _, context = hpylm.expand(data)[:3]
+            assert count.tolist() == [int((words[train[:, 2]] == w).sum()) for w in distinct]
+            every = np.bincount(context) == 13
+            assert np.allclose(np.bincount(context, 10.0 ** score.astype(float))[every], 1, atol=1e-4)
+            whole += every.sum()
+        assert whole == 60
+    assert abs(likelihood[2] / likelihood[0] - 1) < 0.02
+
+
+def test_frequent_words_are_found_and_buckets_have_partitions_of_their_own(spark):
+    rows = spark.createDataFrame([(i, f"Lamp a{i} lamp b{i} the c{i}") for i in range(400)], "id long, text string")
+    hashes = [int(textkernel.words(*textkernel.string_bytes(pa.array([x])))[3][0]) for x in ("lamp", "the")]
+    assert hpylm.frequent_words(rows, 10000, 24).tolist() == sorted([*hashes, int(hpylm.END)])
+    assert hpylm.frequent_words(rows, 10000, 2).tolist() == hashes[:1]
+    for n in (1, 24, 53):
+        keys = hpylm.labels(n)
+        frame = spark.createDataFrame([(k,) for k in keys], "k long")
+        assert keys == sorted(keys) and {r.p for r in frame.select(F.pmod(F.hash("k"), F.lit(n)).alias("p")).collect()} == set(range(n))
+
+
+def test_a_bucket_takes_little_memory_beside_what_it_holds():
+    rng, n = np.random.default_rng(5), 600_000
+    words = np.sort(rng.integers(1, 2**63, 50_000).astype(np.uint64))
+    three = np.stack([rng.integers(0, 50_000, n), rng.integers(0, 50_000, n), rng.integers(0, 50_000, n)]).astype(np.uint32)
+    data, _ = hpylm.gather([(0, hpylm.squeeze(words, *three, np.zeros(1, np.uint32), np.array([n], np.uint32), np.zeros(1, np.uint8)))])
+    state = hpylm.build([data], shared=True)
+    root = {0: hpylm.root_first([(0, hpylm.to_root(state, 1, first=True)[0]["data"])])}
+    row = hpylm.root_row(0, root[0])
+    hpylm.from_root(state, [(0, row[3][0]["data"])])
+    t = hpylm.Totals([np.array([row[4][0]])], [np.array([row[4][1]])], tokens=n, vocabulary=50_000)
+    state.seatings = state.seatings * 3
+    within = state.within(state.seatings[-1], t)
+
+    def most(run):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak / n
+
+    # bytes for each of the distinct trigrams, which are as many as bigrams and contexts here
+    used = most(lambda: hpylm.sweep(state, state.seatings[-1], within, rng)), most(state.dump), most(lambda: hpylm.answer(state, [within] * 3, data))
+    assert max(used) < 130
+
+
 # 3 bit packing
 
 
