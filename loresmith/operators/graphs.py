@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import functools
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalogue import query, table
-from .shared import checked, staged, staged_and_told
+from .shared import TASK_ROWS, checked, dealing, staged, staged_and_told, tasks_for
 
 
 #: Written parts of one size that are put together to one.
@@ -76,25 +79,78 @@ def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return levels.groupBy("start", "node").agg(F.max("level").alias("level"))
 
 
+def hot_keys(rows: DataFrame, key: str, parts: int) -> DataFrame | None:
+    """The values of ``key`` on more than ``TASK_ROWS`` of the staged ``rows`` (and some of more than half as many), to be broadcast; none where there are none.
+
+    Each task tells only what is frequent in it, so next to nothing is shuffled:
+    what ``parts`` tasks leave out of one value is half of ``TASK_ROWS`` at most.
+    """
+    least = max(TASK_ROWS // (2 * parts), 1)
+
+    def frequent(batches):
+        held = [batch.column(0) for batch in batches if batch.num_rows]
+        if held:
+            counts = pa.chunked_array(held).value_counts()
+            counts = counts.filter(pc.greater_equal(pc.struct_field(counts, "counts"), least))
+            yield pa.RecordBatch.from_arrays([pc.struct_field(counts, "values"), pc.struct_field(counts, "counts")], names=["key", "n"])
+
+    told = rows.select(F.col(key).alias("key")).mapInArrow(frequent, T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("n", T.LongType())]))
+    hot = staged(told.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > TASK_ROWS // 2).select(F.col("key").alias(key)))
+    return None if hot.isEmpty() else F.broadcast(hot)
+
+
+def with_lower(found: DataFrame, parts: int) -> DataFrame:
+    """(u, v, m): ``m`` is the least neighbour below ``v``, null where there is none.
+
+    Rows of a hot ``v`` meet theirs by broadcast.  The rest is merged, since a
+    broadcast by size of files would hold many more narrow rows than it seems.
+    """
+    lower, hot = found.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), hot_keys(found, "v", parts)
+    cold = found if hot is None else found.join(hot, "v", "left_anti")
+    out = cold.hint("merge").join(lower.hint("merge"), "v", "left").select("u", "v", "m")
+    return out if hot is None else out.unionByName(found.join(hot, "v", "left_semi").join(F.broadcast(lower.join(hot, "v", "left_semi")), "v", "left").select("u", "v", "m"))
+
+
+def with_least(large: DataFrame, parts: int) -> DataFrame:
+    """(u, v, m): ``m`` is the least ``v`` of each ``u``; dealt by ``u`` once for both the aggregate and its join, but for hot ones."""
+    hot = hot_keys(large, "u", parts)
+    cold = (large if hot is None else large.join(hot, "u", "left_anti")).repartition(parts, "u")
+    out = cold.hint("merge").join(cold.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u").select("u", "v", "m")
+    if hot is None:
+        return out
+    many = large.join(hot, "u", "left_semi")
+    return out.unionByName(many.join(F.broadcast(many.groupBy("u").agg(F.min("v").alias("m"))), "u").select("u", "v", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each connected group of the undirected edges ``a, b``; by large and small stars.
 
-    Labels of hot nodes are found by partial aggregates, and joins move narrow
-    rows; rounds grow with the logarithm of the longest way, not with it.
+    Tasks are as many as the edges need at ``TASK_ROWS`` rows each, and no task
+    holds all rows of a hot node; rounds grow with the logarithm of the longest
+    way, not with it.
     """
     marks = F.count(F.lit(1)).alias("rows"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("mark")
-    found, told = staged_and_told(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), *marks)
-    loops, held = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), None
+    spark, held = edges.sparkSession, None
+    parts = tasks_for(spark, edges.count())
+    # Rows of the input are dealt before they meet a hash table, since its splits hold any number of narrow rows.
+    with dealing(spark, parts):
+        loops, alone = staged_and_told(edges.where("(a <> b) IS NOT TRUE").select(F.explode(F.array("a", "b")).alias("node")).repartition(parts, "node").distinct(), F.count(F.lit(1)).alias("rows"))
+        pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+        found, told = staged_and_told(pairs.repartition(parts, "u", "v").distinct(), *marks)
     while told != held:
         held = told
-        both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u")
-        found, told = staged_and_told(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), *marks)
+        with dealing(spark, parts, whole_files=True):
+            large = staged(with_lower(found, parts).select("u", F.coalesce("m", "v").alias("v")).distinct())
+            star = with_least(large, parts)
+            both = star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+            found, told = staged_and_told(both.where("u <> v").distinct(), *marks)
     labels = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return loops.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    with dealing(spark, parts, whole_files=True):
+        roots = staged(found.select(F.col("v").alias("node")).distinct())
+        labels = labels.unionByName(roots.select("node", F.col("node").alias("component")))
+        if alone["rows"]:
+            labels = labels.unionByName(staged(loops.join(labels.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("component"))))
+    return labels
 
 
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS source, p_partkey // 2 AS target FROM part UNION SELECT p_partkey, p_partkey // 3 FROM part),

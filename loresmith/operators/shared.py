@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,31 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Narrow rows that one task may have to sort or hash at once.
+TASK_ROWS = 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """As many tasks as ``rows`` need at ``TASK_ROWS`` each; a task for each core where there is a tenth of that for it."""
+    return max(-(-rows // TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-rows * 10 // TASK_ROWS)), 1)
+
+
+@contextlib.contextmanager
+def dealing(spark: SparkSession, parts: int, whole_files: bool = False) -> Iterator[None]:
+    """While tables are staged: shuffles into ``parts``, none of them put together again, and with ``whole_files`` each written file read by a task of its own (files of narrow rows are small however many rows they hold)."""
+    settings = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    if whole_files:
+        settings["spark.sql.files.openCostInBytes"] = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    held = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within the bound, else as it is (the join is then by shuffle)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

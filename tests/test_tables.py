@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loresmith import catalogue
-from loresmith.operators import assessment, contracts, datasets, graphs, ledger, prefix, retrieval, selection
+from loresmith.operators import assessment, contracts, datasets, graphs, ledger, prefix, retrieval, selection, shared
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -151,6 +151,21 @@ def test_components_against_union_find(spark, seed):
     assert got == {x: find(x) for x in root}
 
 
+def test_components_deal_rows_by_their_count_and_hot_nodes_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "TASK_ROWS", 40)
+    monkeypatch.setattr(shared, "TASK_ROWS", 40)
+    edges = [(500, i) for i in range(100, 300)] + [(i, i + 1000) for i in range(100, 300)] + [(7, 100), (7, 900)] + [(3, 3), (2000, 2001)]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.createDataFrame(edges, "a int, b int")
+    parts = []
+    dealing = graphs.dealing
+    monkeypatch.setattr(graphs, "dealing", lambda s, n, **k: parts.append(n) or dealing(s, n, **k))
+    got = {r.node: r.component for r in graphs.components(df).collect()}
+    assert got == {x: 3 if x == 3 else 2000 if x >= 2000 else 7 for e in edges for x in e}
+    assert set(parts) == {-(-len(edges) // 40)} and spark.conf.get("spark.sql.shuffle.partitions") == held
+    assert {r.a for r in graphs.hot_keys(df, "a", 11).collect()} == {500} and graphs.hot_keys(df, "b", 11) is None
+
+
 def test_greedy_packing_passes_over_what_does_not_fit(spark):
     rows = spark.createDataFrame([("g", 1, 6), ("g", 2, 7), ("g", 3, 3), ("g", 4, 1), ("g", 5, 1), ("h", 6, 99), ("h", 7, 10)], "g string, i long, n long")
     got = {r.g: (r.used, r.ids) for r in selection.greedy_pack(rows, "g", ["i"], "n", "i", 10).collect()}
