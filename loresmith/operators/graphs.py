@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalogue import query, table
-from .shared import TASK_ROWS, checked, dealing, staged, staged_and_told, tasks_for
+from .shared import TASK_ROWS, checked, dealing, shared_folder, staged, staged_and_told, tasks_for, until_exit
 
 
 #: Written parts of one size that are put together to one.
 MERGED = 4
+#: Rows that a search is expected to find for each link, for which its parts are sized.
+ROWS_A_LINK = 10
 
 
 class Parts:
@@ -38,16 +41,80 @@ class Parts:
 def distances(edges: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
     """(start, node, distance): fewest steps from each start along ``edges`` (source, target); cycles end, what is not reached has no row.
 
-    Each round joins only the frontier with the edges, keeps what was not seen
-    before, and is written; so each pair is expanded once, at its distance.
-    What was seen is held in few parts, whatever the number of rounds.
+    Where every source is a start, each takes over what its targets have found
+    (:func:`distances_of_all`); for fewer starts, or nodes with more links than
+    a task should hold, frontiers are joined with the edges.
     """
-    edges = edges.select("source", "target").distinct()
-    frontier = staged(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).distinct())
+    spark = edges.sparkSession
+    parts = tasks_for(spark, ROWS_A_LINK * edges.count())
+    links, _, _ = dealt(edges.select("source", "target").repartition(parts, "target").distinct(), "target", parts)
+    firsts, _, _ = dealt(starts.select("start").repartition(parts, "start").distinct(), "start", parts)
+    if hot_keys(links, "source", parts) is None and hot_keys(links, "target", parts) is None and links.join(firsts, F.col("source") == F.col("start"), "left_anti").isEmpty():
+        return distances_of_all(links, firsts, parts, limit)
+    return distances_of_some(links, firsts, limit)
+
+
+def dealt(df: DataFrame, by: str, parts: int) -> tuple[DataFrame, int, DataFrame]:
+    """``df``, which stands dealt by ``by`` into ``parts``, staged so that it still is when it is read (its name leaves the catalogue again); its rows; and the same table read without regard to how it is dealt."""
+    spark, name = df.sparkSession, f"stage_{uuid.uuid4().hex}"
+    path = until_exit(spark, shared_folder(spark))
+    df.write.bucketBy(parts, by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    rows = out.count()
+    spark.sql(f"DROP TABLE {name}")
+    return out, rows, spark.read.schema(out.schema).parquet(path)
+
+
+def distances_of_all(links: DataFrame, firsts: DataFrame, parts: int, limit: int | None) -> DataFrame:
+    """:func:`distances` from every source: what a target found at its distance k - 1 is k from the source, unless that has it nearer.
+
+    Everything stays dealt by start, so only what is handed over is shuffled. It
+    is compared with the two rounds before, beyond which undirected links never
+    lead back; with all that was seen only where as many rows have come since the
+    last time. So nothing is read in every round, and what goes round in between
+    is dropped by then.
+    """
+    whole = functools.partial(functools.reduce, DataFrame.unionByName)
+    # The filter takes rows one by one: Spark 4.1 lays columnar scans of a union end to end, though it counts on their being dealt alike.
+    nearest = lambda parted: whole(df.where("distance >= 0") for df in parted).groupBy("start", "node").agg(F.min("distance").alias("distance"))
+    first = dealt(firsts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")), "start", parts)
+    # What :func:`dealt` gives, by age; no pair is in two of ``seen``, which goes as ``far`` as that distance, while ``loose`` may have it again later.
+    seen, loose, last, k, far = [first], [], [first[0]], 0, 0
+    while limit is None or k < limit:
+        k += 1
+        if k == 1:
+            step = links.select(F.col("source").alias("start"), F.col("target").alias("node"))
+        else:
+            found = last[-1].select(F.col("start").alias("target"), "node")
+            step = links.hint("merge").join(found.hint("merge"), "target").select(F.col("source").alias("start"), "node")
+        step = step.repartition(parts, "start").withColumn("distance", F.lit(k))
+        check = loose and sum(x[1] for x in loose) >= sum(x[1] for x in seen)
+        if check:
+            kept = dealt(nearest([step, *(x[0] for x in seen + loose)]).where(F.col("distance") > far), "start", parts)
+            seen, loose, far = [*seen, kept], [], k
+            last = [kept[0].where(F.col("distance") == k - 1), kept[0].where(F.col("distance") == k)]
+            if last[-1].isEmpty():
+                break
+            continue
+        exact = not loose and len(seen) == len(last)
+        new = dealt(nearest([step, *last]).where(F.col("distance") == k), "start", parts)
+        if not new[1]:
+            break
+        (seen if exact else loose).append(new)
+        far = k if exact else far
+        last = [*last, new[0]][-2:]
+    if loose:
+        seen.append(dealt(nearest([x[0] for x in seen + loose]).where(F.col("distance") > far), "start", parts))
+    return whole([x[2] for x in seen])
+
+
+def distances_of_some(links: DataFrame, firsts: DataFrame, limit: int | None) -> DataFrame:
+    """:func:`distances` by rounds: each joins only the frontier with the edges, keeps what was not seen before, and is written; what was seen is held in few parts."""
+    frontier = staged(firsts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
     seen, k = Parts(frontier), 0
     while limit is None or k < limit:
         k += 1
-        step = frontier.select("start", F.col("node").alias("source")).join(edges, "source").select("start", F.col("target").alias("node")).distinct()
+        step = frontier.select("start", F.col("node").alias("source")).join(links, "source").select("start", F.col("target").alias("node")).distinct()
         frontier, told = staged_and_told(step.join(seen.whole(), ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("distance")), F.count(F.lit(1)).alias("rows"))
         if not told["rows"]:
             break

@@ -123,6 +123,33 @@ def test_distances_in_a_graph_with_a_cycle(spark):
     assert got == {"a": 0, "b": 1, "d": 1, "c": 2, "e": 3}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_distances_from_all_and_some_starts_against_search(spark, monkeypatch, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = {(rng.randrange(40), rng.randrange(50)) for _ in range(60)} | {(100 + i, 100 + (i + 1) % 12) for i in range(12)} | {(200, 201)}
+
+    def search(start):
+        found, frontier = {start: 0}, [start]
+        for node in frontier:
+            for a, b in edges:
+                if a == node and b not in found:
+                    found[b] = found[node] + 1
+                    frontier.append(b)
+        return found
+
+    plans, dealt = [], graphs.dealt
+    monkeypatch.setattr(graphs, "tasks_for", lambda spark, rows: 5)
+    monkeypatch.setattr(graphs, "dealt", lambda df, *x: plans.append(df._jdf.queryExecution().executedPlan().toString()) or dealt(df, *x))
+    links = spark.createDataFrame(sorted(edges), "source long, target long")
+    for starts in ({a for a, _ in edges}, {100, 3, 999}):
+        df = graphs.distances(links, spark.createDataFrame([(x,) for x in starts], "start long"))
+        got = [(r.start, r.node, r.distance) for r in df.collect()]
+        assert sorted(got) == sorted((x, n, d) for x in starts for n, d in search(x).items())
+    assert len(plans) > 8 and max(p.count("Exchange ") for p in plans) == 1
+
+
 def test_ancestors_and_cycles(spark):
     edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("c", "a")], "child string, parent string")
     starts = spark.createDataFrame([("c",)], "start string")
