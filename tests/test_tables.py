@@ -150,6 +150,17 @@ def test_distances_from_all_and_some_starts_against_search(spark, monkeypatch, s
     assert len(plans) > 8 and max(p.count("Exchange ") for p in plans) == 1
 
 
+def test_distance_band_shuffles_only_what_is_handed_over(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, k % 7) for k in range(70)] + [(99, 50)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    plans, dealt = [], graphs.dealt
+    monkeypatch.setattr(graphs, "tasks_for", lambda spark, rows: 5)
+    monkeypatch.setattr(graphs, "dealt", lambda df, *x: plans.append(df._jdf.queryExecution().executedPlan().toString()) or dealt(df, *x))
+    got = {r.centre: r.systems for r in graphs.distance_band(spark, str(tmp_path)).collect()}
+    assert got == {c: 10 for c in range(7)} | {(1 << 40) + k: 10 for k in range(70)} | {50: 1, (1 << 40) + 99: 1}
+    # Links, starts and the pairs at 0 steps, then three rounds: nothing was left to compare with all that was seen.
+    assert len(plans) == 6 and all(p.count("Exchange ") == 1 for p in plans[3:])
+
+
 def test_ancestors_and_cycles(spark):
     edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("c", "a")], "child string, parent string")
     starts = spark.createDataFrame([("c",)], "start string")
